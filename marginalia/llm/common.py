@@ -255,3 +255,27 @@ def offsets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(b[1], width)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     data = np.frombuffer(b[2], np.uint8) if b[2] is not None and len(b[2]) else np.empty(0, np.uint8)
     return off, data
+
+
+def slices(off: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `limit` bytes, or of one row that is longer, from offsets of rows."""
+    lo, n = 0, len(off) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        yield lo, min(hi, n)
+        lo = min(hi, n)
+
+
+def stream(docs: DataFrame, cols: list, func: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch | None], schema, limit: int = 4_000_000) -> DataFrame:
+    """func(rows, offsets, bytes) over docs: cols, of which the last is the text, go to Python in slices of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            off, data = offsets_of(r.column(r.num_columns - 1))
+            for lo, hi in slices(off, limit):
+                o = off[lo : hi + 1]
+                out = func(r.slice(lo, hi - lo), o - o[0], data[o[0] : o[-1]])
+                if out is not None and out.num_rows:
+                    yield out
+
+    return docs.select(*cols).mapInArrow(run, schema)
