@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, urls
+from . import bpe, licenses, lines, urls
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -24,6 +24,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.license_scan(_table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    files = sorted(docs.inputFiles())
+    parts = [spark.read.schema(docs.schema).parquet(*files[k::4]) for k in range(min(4, len(files)))]
+    return lines.line_dedup(docs, batches=parts, digest=True)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,4 +92,4 @@ FROM pages p LEFT JOIN verdicts v ON p.url = v.url LEFT JOIN alias a ON v.node =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _URL_SQL}
+    return {"op1_url_filter": _URL_SQL, "op5_line_dedup": lines.SQL}
