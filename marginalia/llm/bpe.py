@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stream
+from .common import BASES, span_hash, stream
 
 #: The pattern that split_points() follows.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -233,10 +233,7 @@ class Ranks:
         start = byte_at[split_points(cp, first[byte_at])]
         end = np.append(start[1:], len(data))
         # equal pre-tokens: two polynomial hashes of each, from running sums, and the length
-        keys = []
-        for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-            inverse = pow(base, -1, 1 << 64)
-            keys.append(_span_hash(data, start, end, base, inverse))
+        keys = [span_hash(data, start, end, base) for base in BASES]
         _, rep, inv = np.unique(keys[0] ^ ((end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)), return_index=True, return_inverse=True)
         if (keys[1][rep][inv] != keys[1]).any():  # a collision: tell the texts apart by themselves
             raw = data.tobytes()
@@ -265,27 +262,6 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - length), length)
 
 
-_powers: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    size = 1 << max(16, int(n).bit_length())
-    if (base, size) not in _powers:
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        for k in [k for k in _powers if k[0] == base]:
-            del _powers[k]
-        _powers[base, size] = np.multiply.accumulate(p)
-    return _powers[base, size]
-
-
-def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, inverse: int) -> np.ndarray:
-    """A 64-bit polynomial hash of each data[start:end]."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data) + 1)[: len(data)], out=sums[1:])
-    return (sums[end] - sums[start]) * _power(inverse, len(data) + 1)[start]
-
-
 _loaded: dict[str, Ranks] = {}
 
 

@@ -167,14 +167,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
-def blocked_units(rows: DataFrame, keys: list[str], id_col: str, block: int) -> DataFrame:
+def blocked_units(rows: DataFrame, keys: list[str], id_col: str, block: int, sizing: DataFrame | None = None) -> DataFrame:
     """rows with bi, bj and side: pairs of rows with equal keys meet in a unit (keys, bi, bj).
 
     A key with at most `block` rows is one unit. A larger one is split by a hash of id_col into
     blocks of about that size, and each pair of blocks is a unit, so no task holds a hot key whole
-    and a pair of rows meets exactly once.
+    and a pair of rows meets exactly once. sizing: a cheaper table to count the keys' rows in.
     """
-    hot = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block), "hot")
+    hot = written((rows if sizing is None else sizing).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block), "hot")
     nb = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     out = rows.join(hot, keys, "left").withColumn("_nb", F.coalesce(nb, F.lit(1)))
     out = out.withColumn("side", F.pmod(F.xxhash64(F.lit(77), F.col(id_col)), F.col("_nb").cast("long")).cast("int"))
@@ -191,7 +191,7 @@ def scan_units(units: DataFrame, keys: list[str], func: Callable, schema: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
 
         def ids(t: pa.Table) -> np.ndarray:
             new = np.zeros(t.num_rows, bool)
@@ -203,7 +203,8 @@ def scan_units(units: DataFrame, keys: list[str], func: Callable, schema: str) -
         for r in batches:
             held.append(r)
             rows += r.num_rows
-            if rows < 20_000:
+            size += r.nbytes
+            if rows < 20_000 and size < 32_000_000:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             u = ids(t)
@@ -214,6 +215,7 @@ def scan_units(units: DataFrame, keys: list[str], func: Callable, schema: str) -
                 held, rows = t.slice(cut).to_batches(), t.num_rows - cut
             else:
                 held = t.to_batches()
+            size = sum(b.nbytes for b in held)
         if rows:
             t = pa.Table.from_batches(held).combine_chunks()
             if (out := func(t, ids(t))) is not None:
@@ -257,6 +259,76 @@ def offsets_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, data
 
 
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    size = 1 << max(16, int(n).bit_length())
+    if (base, size) not in _powers:
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        for k in [k for k in _powers if k[0] == base]:
+            del _powers[k]
+        _powers[base, size] = np.multiply.accumulate(p)
+    return _powers[base, size]
+
+
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit polynomial hash of each data[start:end], from running sums."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data) + 1)[: len(data)], out=sums[1:])
+    return (sums[end] - sums[start]) * _power(pow(base, -1, 1 << 64), len(data) + 1)[start]
+
+
+def links_within(rows: DataFrame, candidates: DataFrame, gram: Callable, block: int) -> DataFrame:
+    """(node, component, n_links): exact links among rows (node, weight, payload...) that candidate edges connect.
+
+    The parts that candidate edges form are co-located in blocks (blocked_units); in each, gram(table)
+    gives the boolean matrix of links among its rows, so every pair of a part is compared exactly
+    once. Per row the weights of its links and per block a spanning forest of them leave the task,
+    never the pairs. Rows without a link are left out.
+    """
+    parts = written(connected_components(candidates), "parts")
+    members = rows.join(parts, "node")
+    units = blocked_units(members, ["component"], "node", block, sizing=parts)
+
+    def run(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch | None:
+        node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
+        side, one = t.column("side").to_numpy(), t.column("bi").to_numpy() == t.column("bj").to_numpy()
+        cuts = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1, append=unit[-1] + 1))
+        a, b, n = [], [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            link = gram(t.slice(lo, hi - lo)) & (node[lo:hi, None] != node[None, lo:hi])
+            if not one[lo]:
+                link &= side[lo:hi, None] != side[None, lo:hi]
+            if not link.any():
+                continue
+            count = link @ weight[lo:hi]
+            has = np.flatnonzero(count)
+            a.append(node[lo:hi][has])
+            b.append(np.full(len(has), -1))
+            n.append(count[has])
+            i, j = np.nonzero(np.triu(link))
+            x, y = find_forest(node[lo + i], node[lo + j])
+            a.append(x)
+            b.append(y)
+            n.append(np.zeros(len(x), np.int64))
+        if not a:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])
+
+    found = written(scan_units(units, ["component"], run, "a long, b long, n long"), "links")
+    forget(parts)
+    comp = connected_components(found.where("n = 0").select("a", "b"))
+    count = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    return written(count.join(comp, "node"), "linked")
+
+
 def slices(off: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes, or of one row that is longer, from offsets of rows."""
     lo, n = 0, len(off) - 1
