@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, ngrams, urls
+from . import bpe, embeds, langid, licenses, lines, ngrams, urls
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -28,6 +28,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     files = sorted(docs.inputFiles())
@@ -41,6 +45,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeds.embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -96,4 +104,4 @@ FROM pages p LEFT JOIN verdicts v ON p.url = v.url LEFT JOIN alias a ON v.node =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _URL_SQL, "op5_line_dedup": lines.SQL}
+    return {"op1_url_filter": _URL_SQL, "op5_line_dedup": lines.SQL, "op7_embedding_dedup": embeds.SQL}
