@@ -26,7 +26,7 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         a, b = x >> half, x & mask
         for r in range(8):
-            f = hashlib.blake2b(bytes([r]) + salt + b.to_bytes(width, "big"), key=key, digest_size=min(64, width + 8)).digest()
+            f = hashlib.blake2b(bytes([r]) + salt + b.to_bytes(width, "big"), key=key[:64], digest_size=min(64, width + 8)).digest()
             a, b = b, a ^ (int.from_bytes(f * (-(-width // len(f))), "big") & mask)
         x = a << half | b
         if x < size:
@@ -100,7 +100,7 @@ def name_part(word: str, key: bytes) -> str:
         names = GIVEN[pool]
         i = [n.lower() for n in names].index(low)
         # a keyed cyclic order of the pool: each name is followed by another
-        order = sorted(range(len(names)), key=lambda j: hashlib.blake2b(names[j].encode(), key=key, digest_size=8).digest())
+        order = sorted(range(len(names)), key=lambda j: hashlib.blake2b(names[j].encode(), key=key[:64], digest_size=8).digest())
         new = names[order[(order.index(i) + 1) % len(names)]]
         return new.upper() if word.isupper() and len(word) > 1 else new
     body, last = word[:-1], word[-1:]
@@ -171,7 +171,8 @@ def _secret(text: str, key: bytes) -> str:
 
 def surrogate(kind: str, text: str, key: bytes) -> str:
     """The replacement of an entity: a function of key, kind and the entity, injective for each kind up to separators and case."""
-    return _made(kind, text, key)
+    new = _made(kind, text, key)
+    return new if new != text else _made(kind, text, key[::-1] + b"again")  # the rare fixed point of a bijection
 
 
 @lru_cache(100_000)
@@ -204,14 +205,16 @@ _TITLE = re.compile(
     r"(?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]{1,30}(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]{1,30}){0,2})"
 )
 _TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Господин", "Госпожа", "Κύρι", "Κυρί")
-_KEYWORDS = re.compile(r"(?i)passw|passwd|pwd|passphrase|secret|token|key|auth|AKIA|ASIA|gh[pousr]_|github_|sk-|xox|eyJ")
+_KEYWORDS = ("passw", "pwd", "passphrase", "secret", "token", "key", "auth")
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_", "sk-", "xox", "eyJ")
 _DIGIT = re.compile(r"\d")
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each entity, in order and without overlaps; secrets and emails go before numbers, names last."""
     found: list[tuple[int, int, int, str]] = []
-    if _KEYWORDS.search(text):
+    low = text.lower()
+    if any(k in low for k in _KEYWORDS) or any(k in text for k in _PREFIXES):
         for m in _SECRET.finditer(text):
             g = "a" if m["a"] else "b"
             found.append((0, m.start(g), m.end(g), "secret"))

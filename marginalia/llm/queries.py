@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeds, langid, licenses, lines, mixing, ngrams, pii, urls
+from . import audio, bpe, embeds, langid, licenses, lines, mixing, ngrams, pii, urls
+from .common import written
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -59,6 +60,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(_table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings come from the embeddings (sonified), since no table holds any; every row whose id 20 divides is searched among all."""
+    media = audio.sonified(_table(spark, sf_dir, "embeddings"))
+    prints = written(audio.fingerprints(media, key="vec_id"), "prints")
+    return audio.search_audio(prints, F.col("vec_id") % 20 == 0, key="vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
