@@ -165,7 +165,7 @@ def align(a: np.ndarray, b: np.ndarray, max_ber: float) -> tuple[int, int, float
     return None
 
 
-def match_audio(prints: DataFrame, is_query, *, key: str, min_hits: int = 10, max_ber: float = 0.2, block: int = 256) -> DataFrame:
+def match_audio(prints: DataFrame, is_query, *, key: str, min_hits: int = 6, max_ber: float = 0.2, block: int = 256) -> DataFrame:
     """(query, match, rows, hits, offset, ber): recordings that align with each query recording, between representatives of equal ones.
 
     Rows with equal integers are one class, named by its smallest key; query and match are such
