@@ -81,15 +81,16 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int =
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = 32, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = 32, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False) -> DataFrame:
     """docs with block, slot and position: an order in which each prefix has its sources' target weights, every row once.
 
     Rows of a source come in the order of a keyed hash of their key, cut in blocks of `block` rows.
     Blocks are scheduled by phases(); position numbers all rows, 0 first, in order of slots. Without
     weights a source of n rows weighs n ** power; a source that the weights leave out weighs
     what the least one does. As long as no source has run out, every prefix has less than one
-    block more or fewer of a source than its target (up to its weight's rounding to 1/slots);
-    when one runs out, this holds among those that are left. Nothing is dropped or repeated.
+    block more or fewer of a source than its target (up to its weight's rounding to 1/slots).
+    When one runs out, this holds among those that are left. Nothing is dropped or repeated.
+    in_order: partitions follow one another by position, each with as many rows and sorted, without a sampling pass.
 
     A null source is a source of its own. Rows that repeat a key, or have none, are ordered by a hash of
     all their columns, and equal rows in any order. Empty tables give no rows; columns of docs that are named block, slot or position are
@@ -131,6 +132,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     slot = F.col("_q.start") + F.floor(i / n) * F.col("_q.d") + F.element_at("_q.places", (F.pmod(i, n) + 1).cast("int"))
     met = met.withColumn("slot", slot.cast("long")).drop("_q", "_h", "_g", "_b", "before")
     met = _placed(met, {s: n for s, n in count.items()}, block, plan)
+    if in_order:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        per_part = max(1, -(-sum(count.values()) // parts))
+        met = met.repartitionById(parts, F.floor(F.col("position") / per_part).cast("int")).sortWithinPartitions("position")
     return met.select(*base.columns, "block", "slot", "position")
 
 
