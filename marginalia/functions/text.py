@@ -45,7 +45,7 @@ def yes_no(value: Column) -> Column:
 
 def multi_tokens(value: Column) -> Column:
     """The trimmed, non-empty parts between commas, semicolons and line ends; an empty array for null."""
-    parts = F.transform(F.split(F.coalesce(value, F.lit("")), "[,;\n]"), F.trim)
+    parts = F.transform(F.split(F.coalesce(value, F.lit("")), "[,;\n]"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 
