@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in local mode, where it may be unset, a temporary folder of this machine."""
@@ -15,9 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    d = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="marginalia-"))
+    return _local[0]
 
 
 def staged(df: DataFrame) -> DataFrame:
