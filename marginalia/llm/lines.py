@@ -113,7 +113,7 @@ def _strike(min_chars: int, digest: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: Iterable[DataFrame] | None = None, digest: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: Iterable[DataFrame] | None = None, digest: bool = False, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs without repeated lines, with n_lines (before) and n_dropped; with digest: (key, n_lines, n_dropped, kept_sha256).
 
     A line's key is the line without the blanks of BLANK at its ends, A-Z lower-cased. A key of at
@@ -123,8 +123,8 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
 
     Nulls: a null text is one empty line and becomes an empty text; a row with a null key is no
     document, it neither counts nor loses lines. Rows that repeat a key are one document and each
-    keep or lose the same lines. Empty tables give no rows. Columns of docs stay; ones that are
-    named n_lines or n_dropped are replaced. Line hashes have 128 bits.
+    keep or lose the same lines. Empty tables give no rows. Columns of docs stay; ones that have
+    the names of `counts` are replaced. Line hashes have 128 bits.
 
     The runs hold 24 bytes a line and are shuffled three times; texts are shuffled once, to meet the lines
     that their document loses, or not at all where these are few enough for a broadcast.
@@ -141,15 +141,16 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
     lost = written(lost.groupBy("doc").agg(F.collect_list(both).alias("_struck")), "struck")
     runs.close()
     forget(doomed)
-    carried = [key] if digest else [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    rows = docs.select(*[F.col(c) for c in carried], F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.join(lost.withColumnRenamed("doc", "_doc").hint("shuffle_hash") if not _small(lost) else lost.withColumnRenamed("doc", "_doc"), "_doc", "left").select(*carried, "_struck", "_text")
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]
+    carried = [key] if digest else [c for c in docs.columns if c not in (text, *counts)]
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    lost = lost.withColumnRenamed("doc", "_doc")
+    rows = rows.join(lost if _small(lost) else lost.hint("shuffle_hash"), "_doc", "left").select(*[f"c{i}" for i in range(len(carried))], "_struck", "_text")
+    fields = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried)]
     out = rows.mapInArrow(_strike(min_chars, digest), ", ".join([*fields, "n_lines long, n_dropped long, _kept string"]))
     if digest:
-        return out.withColumnRenamed("_kept", "kept_sha256")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col("_kept").alias(c) if c == text else F.col(c) for c in names], "n_lines", "n_dropped")
+        return out.select(F.col("c0").alias(key), F.col("n_lines").alias(counts[0]), F.col("n_dropped").alias(counts[1]), F.col("_kept").alias("kept_sha256"))
+    at = {c: f"c{i}" for i, c in enumerate(carried)} | {text: "_kept"}
+    return out.select(*[F.col(at[c]).alias(c) for c in docs.columns if c not in counts], F.col("n_lines").alias(counts[0]), F.col("n_dropped").alias(counts[1]))
 
 
 def _small(df: DataFrame) -> bool:

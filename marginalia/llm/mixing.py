@@ -81,7 +81,7 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int =
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = 32, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = 32, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
     """docs with block, slot and position: an order in which each prefix has its sources' target weights, every row once.
 
     Rows of a source come in the order of a keyed hash of their key, cut in blocks of `block` rows.
@@ -93,11 +93,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     in_order: partitions follow one another by position, each with as many rows and sorted, without a sampling pass.
 
     A null source is a source of its own. Rows that repeat a key, or have none, are ordered by a hash of
-    all their columns, and equal rows in any order. Empty tables give no rows; columns of docs that are named block, slot or position are
+    all their columns, and equal rows in any order. Empty tables give no rows; columns of docs that have these `names` are
     replaced. No task holds a source: a row's rank is its rank in one of its source's hash buckets of about bucket_rows rows, plus the rows
     in the buckets before; sources without rows are fine. At most MAX_SOURCES sources (config-sized) are accepted, since the schedule is made on the driver.
     """
-    base = docs.select([F.col(c) for c in docs.columns if c not in ("block", "slot", "position")])
+    taken = [c for c in docs.columns if c not in names]
+    base = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(taken)])
+    key, source = f"c{taken.index(key)}", f"c{taken.index(source)}"
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))  # a null is no text
     own = [c for c in base.columns if not isinstance(base.schema[c].dataType, _maps())]
     rows = base.withColumn("_s", name).withColumn("_h", F.xxhash64(F.lit(seed), F.col(key))).withColumn("_g", F.xxhash64(F.lit(seed), *own))
@@ -136,7 +138,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         per_part = max(1, -(-sum(count.values()) // parts))
         met = met.repartitionById(parts, F.floor(F.col("position") / per_part).cast("int")).sortWithinPartitions("position")
-    return met.select(*base.columns, "block", "slot", "position")
+    return met.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(taken)], *[F.col(c).alias(n) for c, n in zip(("block", "slot", "position"), names, strict=True)])
 
 
 def _maps():
