@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that at least three documents hold from all but the largest; n_chars follows the text. Documents stay, if need be with an empty text."""
-    out = lines.line_dedup(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = lines.line_dedup(docs, counts=("_lines", "_dropped"))
+    return out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts all documents in the order of the source mixture: files and the rows in them follow one another by position."""
-    return mixing.mix_sources(docs, in_order=True).select(*docs.columns)
+    return mixing.mix_sources(docs, in_order=True, names=("_block", "_slot", "_position")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
