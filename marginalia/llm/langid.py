@@ -78,7 +78,7 @@ def fit(x: np.ndarray, langs: list[str], landmarks: int, ridge: float, seed: int
     return Model(names, (mark.T.astype(np.float64) @ coef).astype(np.float32), bias.astype(np.float32))
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 400, max_rows: int = 4000, landmarks: int = 256, ridge: float = 0.5, max_langs: int = 200) -> Model | None:
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 200, max_rows: int = 2000, landmarks: int = 200, ridge: float = 0.5, max_langs: int = 200) -> Model | None:
     """A model from a bounded sample of the labelled rows of docs, or None where there are none.
 
     The sample has at most per_lang rows of each of the max_langs most frequent languages, and some
