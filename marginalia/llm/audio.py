@@ -250,14 +250,17 @@ def sonified(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embeddin
         tones = np.stack([np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) * fade for k in range(24)]).astype(np.float32)
         for r in batches:
             out = []
-            for v in r.column(1).to_pylist():
+            for n, v in enumerate(r.column(1).to_pylist()):
+                if len(out) == 128:  # recordings are large: few go in a batch
+                    yield pa.RecordBatch.from_arrays([r.column(0).slice(n - 128, 128), pa.array(out, pa.binary())], names=["_key", "audio"])
+                    out = []
                 if not v or any(x is None or not np.isfinite(x) for x in v):
                     out.append(None)
                     continue
                 v = np.array([*v, *[0.0] * (-len(v) % 4)], np.float64).reshape(-1, 4)
                 k = np.floor(12 * (0.5 + np.arctan2(v[:, [0, 2]], v[:, [1, 3]]) / (2 * np.pi))).astype(int).clip(0, 11)
                 out.append(encode_wav((0.45 * tones[k[:, 0]] + 0.35 * tones[12 + k[:, 1]]).ravel(), rate))
-            yield pa.RecordBatch.from_arrays([r.column(0), pa.array(out, pa.binary())], names=["_key", "audio"])
+            yield pa.RecordBatch.from_arrays([r.column(0).slice(r.num_rows - len(out)), pa.array(out, pa.binary())], names=["_key", "audio"])
 
     kind = vectors.schema[key].dataType.simpleString()
     return vectors.select(F.col(key), F.col(vector)).mapInArrow(run, f"_key {kind}, audio binary").withColumnRenamed("_key", key)
