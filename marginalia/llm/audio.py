@@ -173,9 +173,9 @@ def match_audio(prints: DataFrame, is_query, *, key: str, min_hits: int = 6, max
     min_hits distinct integers in common, or as many as the query has if these are fewer, with at most max_ber
     wrong bits. is_query: a condition on prints' rows; a class with a query row is a query.
 
-    No match is lost: two recordings with h integers in common share one of the first's rarest
-    n - h + 1, so only these are looked up, rarest by the number of classes that hold them. Candidates
-    are met with both sides' integers by joins, which adaptive execution splits. Null keys and empty prints match nothing.
+    No match is lost: two recordings with h integers in common share at least m of the first's rarest
+    n - h + m, so only these are looked up, rarest by the number of classes that hold them, and pairs that
+    share fewer than m (three) of them go no further. Candidates are met with both sides' integers by joins, which adaptive execution splits. Null keys and empty prints match nothing.
     """
     base = prints.where(F.col(key).isNotNull() & (F.size("prints") > 0)).select(F.col(key).cast("long").alias("key"), "prints", is_query.alias("q"), F.xxhash64(F.lit(5), "prints").alias("h1"), F.xxhash64(F.lit(6), "prints").alias("h2"))
     classes = written(base.groupBy("h1", "h2").agg(F.min("key").alias("id"), F.count("*").alias("rows"), F.max("q").alias("q"), F.first("prints").alias("prints")).drop("h1", "h2"), "prints")
@@ -184,9 +184,10 @@ def match_audio(prints: DataFrame, is_query, *, key: str, min_hits: int = 6, max
     df = posts.groupBy("v").agg(F.count("*").alias("df"))
     w = Window.partitionBy("id")  # at most a recording's integers
     n, need = F.count("*").over(w), F.least(F.lit(min_hits), F.count("*").over(w))
-    rare = wanted.join(df, "v").select("id", "v", (F.row_number().over(w.orderBy("df", "v")) <= n - need + 1).alias("use")).where("use")
-    rare = rare.select(F.col("id").alias("query"), "v")
-    pairs = rare.join(posts, "v").where("query <> id").select("query", F.col("id").alias("match")).distinct()
+    rare = wanted.join(df, "v").select("id", "v", (F.row_number().over(w.orderBy("df", "v")) <= n - need + F.least(F.lit(3), need)).alias("use"), F.least(F.lit(3), need).alias("m")).where("use")
+    rare = rare.select(F.col("id").alias("query"), "v", "m")
+    shared = rare.join(posts, "v").where("query <> id").groupBy("query", F.col("id").alias("match")).agg(F.count("*").alias("c"), F.max("m").alias("m"))
+    pairs = shared.where("c >= m").select("query", "match")
     both = pairs.join(classes.select(F.col("id").alias("query"), F.col("prints").alias("a")), "query").join(classes.select(F.col("id").alias("match"), F.col("prints").alias("b"), "rows"), "match")
 
     def verify(batches):
