@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -57,9 +58,9 @@ def fixed_chunks(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", si
 
 def idf_table(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, df, idf) with idf = ln((N - df + 0.5) / (df + 0.5)) + 1. Terms are combined before the shuffle."""
-    n = docs.agg(F.count("*").alias("n"))
+    n = F.lit(docs.count())
     df = docs.select(F.explode(F.array_distinct(T.search_tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", (F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1).alias("idf"))  # one row is broadcast
+    return df.select("term", "df", (F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1).alias("idf"))
 
 
 def bm25_scores(docs: DataFrame, queries: dict[str, Sequence[str]], *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,13 +74,14 @@ def bm25_scores(docs: DataFrame, queries: dict[str, Sequence[str]], *, doc: str
     dl = F.size("_k")
     tf = {t: F.size("_k") - F.size(F.array_remove("_k", t)) for t in terms}
     counts = base.select(doc, dl.alias("dl"), *[c.alias(f"t{i}") for i, c in enumerate(tf.values())])
-    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))])
-    both = counts.where(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(stats))  # one row is broadcast
+    stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()  # one row
+    both = counts.where(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false")
     part = []
     for i in range(len(terms)):
-        idf = F.ln((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)) + 1
+        d = stats[f"d{i}"] or 0
+        idf = F.lit(math.log((stats["n"] - d + 0.5) / (d + 0.5)) + 1)
         x = F.col(f"t{i}").cast("double")
-        part.append(idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+        part.append(idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0))))
     scored = []
     for name, q in sorted(queries.items()):
         total = F.lit(0.0)
@@ -140,8 +142,6 @@ def candidate_pool(semantic: DataFrame, keyword: DataFrame, k: int, *, by: str =
 
     Scores of the channels are compared as they are. Inputs: (by, item, score).
     """
-    import math
-
     target = math.ceil(k * factor * oversample)
     n_key = int(round(target * keyword_fraction))
     best = lambda d: d.groupBy(by, item).agg(F.max("score").alias("score"))

@@ -115,7 +115,11 @@ def label_first(pred: DataFrame, targets: Sequence[dict], *, unit: str = "unit_i
 def min_max(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """rows with `scaled`: 0 to 1 between the least and the greatest of its group, 0 where they are equal."""
     ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    both = rows.join(ends, list(by)) if by else rows.join(F.broadcast(ends))  # one row
+    if by:
+        both = rows.join(ends, list(by))
+    else:
+        one = ends.first()
+        both = rows.withColumns({"_lo": F.lit(one[0]), "_hi": F.lit(one[1])})
     return both.withColumn("scaled", F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))).drop("_lo", "_hi")
 
 
