@@ -155,13 +155,12 @@ def _jaccard(threshold: float):
 
 
 def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, threshold: float = 0.5, trees: int = 36, recall: float = 0.99, block: int = 512) -> DataFrame:
-    """(key, class_id, n_links, component_id, kept): near-duplicates by the Jaccard similarity of word n-grams.
+    """(key, class_id, n_links, copy_id, kept): near-duplicates by the Jaccard similarity of word n-grams.
 
     Words are runs of digits, a-z (A-Z lower-cased) and all beyond ASCII. Rows with the same words
-    form a class (class_id, its smallest key); classes link where the Jaccard similarity of their
-    n-gram sets is at least the threshold. n_links counts the other rows that a row links with,
-    those of its own class too; component_id is the smallest key that links reach; kept is
-    key = component_id.
+    are copies (copy_id, the smallest key of them); they link with others where the Jaccard similarity
+    of their n-gram sets is at least the threshold. n_links counts the other rows that a row links
+    with, its copies too; class_id is the smallest key that links reach; kept is key = class_id.
 
     A signature's trees are sorted by paths of DEPTH labels; prefixes are shortened from the full path until pairs at the
     threshold share one in some tree with the wanted recall (depth_for). Pairs under one prefix
@@ -170,7 +169,7 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     only those in parts go on; a group of any size is split in blocks.
 
     Nulls: a null or empty text, or one without words, links with nothing; neither does a row with a
-    null key, which is returned as kept with a null component. Rows that repeat a key and text link like any copies; keys are
+    null key, which is returned as kept with a null class. Rows that repeat a key and text link like any copies; keys are
     taken as 64-bit integers. Empty tables give no rows; other columns are not read.
     """
     sig = written(signatures(docs, key, text, n, trees), "signatures")
@@ -191,14 +190,14 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("_text")).where("_text is not null").join(heads, "node")
     rows = stream(texts, ["node", "weight", "_text"], sets, "node long, weight long, grams array<long>")
     linked = links_within(rows, edges, _jaccard(threshold), block)
-    per_class = classes.select("c1", "c2", F.col("node").alias("class_id"), "weight").join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
+    per_class = classes.select("c1", "c2", F.col("node").alias("head"), "weight").join(linked.withColumnRenamed("node", "head"), "head", "left")
     out = sig.select("doc", "c1", "c2", (F.col("size") > 0).alias("_real")).join(per_class, ["c1", "c2"], "left")
     ok = F.col("_real") & F.col("doc").isNotNull()
-    comp = F.when(ok, F.coalesce("component", "class_id")).otherwise(F.col("doc"))
+    comp = F.when(ok, F.coalesce("component", "head")).otherwise(F.col("doc"))
     return out.select(
         F.col("doc").cast(docs.schema[key].dataType).alias(key),
-        F.when(ok, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"),
+        comp.alias("class_id"),
         F.when(ok, F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).otherwise(F.lit(0)).alias("n_links"),
-        comp.alias("component_id"),
+        F.when(ok, F.col("head")).otherwise(F.col("doc")).alias("copy_id"),
         F.coalesce(comp == F.col("doc"), F.lit(True)).alias("kept"),
     )

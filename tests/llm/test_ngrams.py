@@ -38,7 +38,7 @@ def corpus(n=90, seed=2):
 
 def test_links_and_components_are_those_of_all_pairs(spark):
     docs = corpus()
-    got = {r.doc_id: (r.n_links, r.component_id) for r in ngrams.ngram_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in ngrams.ngram_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
 
 
@@ -54,7 +54,7 @@ def test_hot_groups_in_blocks(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute(docs)
     for block in (16, 512):
-        got = {x.doc_id: (x.n_links, x.component_id) for x in ngrams.ngram_join(d, block=block).collect()}
+        got = {x.doc_id: (x.n_links, x.class_id) for x in ngrams.ngram_join(d, block=block).collect()}
         assert got == want
 
 
@@ -72,6 +72,6 @@ def test_odd(spark):
     got = ngrams.ngram_join(d).collect()
     assert len(got) == 12
     by = {r.doc_id: r for r in got}
-    assert by[1].n_links == 3 and by[6].n_links == 3 and by[6].component_id == 1 and not by[6].kept and by[1].kept
-    assert by[3].n_links == 0 and by[3].kept and by[None].kept and by[None].component_id is None
+    assert by[1].n_links == 3 and by[6].n_links == 3 and by[6].class_id == 1 and not by[6].kept and by[1].kept
+    assert by[3].n_links == 0 and by[3].kept and by[None].kept and by[None].class_id is None
     assert ngrams.ngram_join(d.limit(0)).count() == 0
