@@ -126,7 +126,7 @@ class Ranks:
         lens = np.array([len(t) for t in self.tokens], np.int64)
         self.token_len, self.token_off = lens, np.concatenate([[0], np.cumsum(lens)])
         self.token_bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, all words through one rank queue.
@@ -198,8 +198,8 @@ class Ranks:
         flat = flat[alive].astype(np.uint32)
         return [flat[a:b] for a, b in zip(n_alive[starts], n_alive[ends], strict=True)]
 
-    def encode_all(self, words: list[bytes], keep: int = 1_500_000) -> list[np.ndarray]:
-        """The ids of distinct words: a word that is a token is that token, others are merged; short ones are remembered, at most `keep`."""
+    def encode_all(self, words: list[bytes], keep: int = 500_000) -> list[bytes]:
+        """The ids of distinct words as 32-bit integers: a word that is a token is that token, others are merged; short ones are remembered, some `keep` of them."""
         cache, whole = self.cache, self.ids
         if len(cache) > keep:
             cache.clear()
@@ -209,13 +209,13 @@ class Ranks:
             got = cache.get(w)
             if got is None:
                 if (t := whole.get(w)) is not None:
-                    got = cache[w] = np.array([t], np.uint32)
+                    got = t.to_bytes(4, "little")
                 else:
                     todo.append(i)
             out[i] = got
         if todo:
-            for i, ids in zip(todo, self.merge([words[i] for i in todo]), strict=True):
-                out[i] = ids
+            for i, made in zip(todo, self.merge([words[i] for i in todo]), strict=True):
+                out[i] = ids = made.astype("<u4").tobytes()
                 if len(words[i]) <= 64:
                     cache[words[i]] = ids
         return out
@@ -244,9 +244,9 @@ class Ranks:
             raw = data.tobytes()
             words = [raw[a:b] for a, b in zip(start[rep].tolist(), end[rep].tolist(), strict=True)]
         coded = self.encode_all(words)
-        lens = np.fromiter(map(len, coded), np.int64, len(coded))
+        lens = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         at = np.concatenate([[0], np.cumsum(lens)])
-        flat = np.concatenate(coded)
+        flat = np.frombuffer(b"".join(coded), "<u4")
         ids = flat[_ranges(at[inv], lens[inv])]
         upto = np.concatenate([[0], np.cumsum(lens[inv])])
         return upto[np.searchsorted(start, off)], ids
@@ -303,7 +303,7 @@ def _map(docs: DataFrame, path: str, key: str, text: str, out: list[tuple[str, s
         return pa.RecordBatch.from_arrays([r.column(0), *cols], names=[key, *[c for c, _ in out]])
 
     kind = docs.schema[key].dataType.simpleString()
-    return stream(docs, [F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, ", ".join([f"`{key}` {kind}", *[f"{c} {k}" for c, k in out]]))
+    return stream(docs, [F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, ", ".join([f"`{key}` {kind}", *[f"{c} {k}" for c, k in out]]), limit=1_000_000)
 
 
 def ranks_of(name: str, sent) -> Ranks:
