@@ -261,11 +261,19 @@ def _power(base: int, n: int) -> np.ndarray:
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit polynomial hash of each data[start:end], from running sums."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data) + 1)[: len(data)], out=sums[1:])
-    return (sums[end] - sums[start]) * _power(pow(base, -1, 1 << 64), len(data) + 1)[start]
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, step: int = 1 << 18) -> np.ndarray:
+    """A 64-bit polynomial hash of each data[start:end], from running sums. Spans are in order; some `step` elements are handled at a time."""
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        lo = int(start[a])
+        b = max(a + 1, int(np.searchsorted(end, lo + step, "right")))
+        n = int(end[b - 1]) - lo
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data[lo : lo + n].astype(np.uint64) + np.uint64(1)) * _power(base, n + 1)[:n], out=sums[1:])
+        out[a:b] = (sums[end[a:b] - lo] - sums[start[a:b] - lo]) * _power(pow(base, -1, 1 << 64), n + 1)[start[a:b] - lo]
+        a = b
+    return out
 
 
 def links_within(rows: DataFrame, candidates: DataFrame, gram: Callable, block: int) -> DataFrame:

@@ -142,27 +142,28 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
         names = np.array([*m.langs, "und"], object)[np.where(has, best, len(m.langs))]
         return pa.RecordBatch.from_arrays([r.column(0), pa.array(names, pa.string()), pa.array(np.where(has, np.round(p, 6), 0.0))], names=[key, "lang_pred", "score"])
 
-    return stream(docs, [F.col(key), letter.alias("_has"), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, f"`{key}` {kind}, lang_pred string, score double", limit=8_000_000)
+    return stream(docs, [F.col(key), letter.alias("_has"), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, f"`{key}` {kind}, lang_pred string, score double", limit=2_000_000)
 
 
 def labelled(docs: DataFrame, model: Model | None, *, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with lang replaced by the prediction, in one pass over whole rows."""
     if model is None:
         return docs.withColumn(lang, F.lit("und"))
-    sent, at, n = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(lang), len(docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    rest = [c for c in docs.columns if c not in (text, lang)]
 
     def run(r: pa.RecordBatch, off: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
         m = sent.value
         best = m.scores(off, data).argmax(1)
         has = r.column(r.num_columns - 2).to_numpy(zero_copy_only=False)
         names = np.array([*m.langs, "und"], object)[np.where(has, best, len(m.langs))]
-        cols = [pa.array(names, pa.string()) if i == at else r.column(i) for i in range(n)]
-        return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(n)])
+        cols = [*[r.column(i) for i in range(r.num_columns - 2)], pa.array(names, pa.string()), r.column(r.num_columns - 1)]
+        return pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
-    kinds = ["string" if c == lang else docs.schema[c].dataType.simpleString() for c in docs.columns]
-    out = stream(docs, [*docs.columns, letter.alias("_has"), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)), limit=8_000_000)
-    return out.toDF(*docs.columns)
+    kinds = [docs.schema[c].dataType.simpleString() for c in rest] + ["string", "string"]
+    out = stream(docs, [*rest, letter.alias("_has"), F.col(text)], run, ", ".join(f"c{i} {k}" for i, k in enumerate(kinds)), limit=2_000_000)
+    return out.toDF(*rest, lang, text).select(*docs.columns)
 
 
 def held_out(key: str = "doc_id"):

@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, key: str, text: str, n: int, trees: int) -> Data
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * trees), pa.array(paths.view(np.int64).ravel()))
         return pa.RecordBatch.from_arrays([r.column(0), *[pa.array(x.view(np.int64)) for x in c], pa.array(size), *[pa.array(x.view(np.int64)) for x in sketch], lists], names=["doc", "c1", "c2", "size", "s1", "s2", "paths"])
 
-    return stream(docs, [F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, "doc long, c1 long, c2 long, size long, s1 long, s2 long, paths array<long>", limit=2_000_000)
+    return stream(docs, [F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")).alias("_text")], run, "doc long, c1 long, c2 long, size long, s1 long, s2 long, paths array<long>", limit=1_000_000)
 
 
 def _sketch_floor(bits: int, threshold: float) -> int:
