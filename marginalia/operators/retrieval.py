@@ -203,11 +203,13 @@ def mmr(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", score: str =
     return rows.select(by, item, score, vector).groupBy(by).applyInPandas(run, f"{by} {kb}, {item} {ki}, rank long")
 
 
-def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", lists: int = 16, probes: int = 6, sample: int = 10_000, seed: int = 3) -> DataFrame:
+def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", lists: int = 16, probes: int | None = None, recall: float = 0.95, trials: int = 200, sample: int = 10_000, seed: int = 3) -> DataFrame:
     """(query, key, similarity, rank): approximate cosine_top_k through an inverted file.
 
     Centroids come from MLlib k-means on a bounded sample of unit vectors; every row is filed under its nearest
     centroid, and a query is sent to the `probes` nearest lists, where an equi-join meets it with their rows.
+    Without probes, they are as many as the recall needs, measured on all rows: the exact neighbours of
+    `trials` queries (all queries, if they are fewer) are looked up in the lists.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -224,17 +226,37 @@ def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vec
     @F.pandas_udf("array<int>")
     def near(v: pd.Series) -> pd.Series:
         s = np.stack(v) @ centers.T - (centers**2).sum(1) / 2
-        return pd.Series(list(np.argsort(-s, 1)[:, :probes].astype(np.int32)))
+        return pd.Series(list(np.argsort(-s, 1).astype(np.int32)))
 
     filed = unit.withColumn("_near", near("v"))
+    if probes is None:
+        probes = _probes(unit, filed, k, recall, trials, seed)
     rows = filed.select("id", F.col("v").alias("w"), F.col("_near")[0].alias("list"))
-    asks = filed.where("q").select(F.col("id").alias("query"), "v", F.explode("_near").alias("list"))
+    asks = filed.where("q").select(F.col("id").alias("query"), "v", F.explode(F.slice("_near", 1, probes)).alias("list"))
     dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     met = asks.join(rows, "list").where("query <> id").select("query", "id", dot.alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
+def _probes(unit: DataFrame, filed: DataFrame, k: int, recall: float, trials: int, seed: int) -> int:
+    """How many nearest lists hold the given share of the exact neighbours of a hash sample of the queries."""
+    asked = [r.id for r in unit.where("q").select("id").distinct().orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(trials).collect()]
+    if not asked:
+        return 1
+    exact = cosine_top_k(unit, F.col("q") & F.col("id").isin(asked), k, key="id", vector="v").select("query", "id")  # trials * k rows
+    lists = filed.select("id", F.col("_near")[0].alias("list"))
+    orders = filed.where("q").where(F.col("id").isin(asked)).select(F.col("id").alias("query"), "_near")
+    at = F.array_position("_near", F.col("list"))
+    found = exact.join(lists, "id").join(orders, "query").groupBy(at.alias("at")).agg(F.count("*").alias("n")).orderBy("at").collect()
+    total, seen = sum(r.n for r in found), 0
+    for r in found:
+        seen += r.n
+        if seen >= recall * total:
+            return int(r["at"])
+    return 1
+
+
 def hashed_embedding(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 256) -> DataFrame:
     """(doc, embedding): a unit vector of hashed token counts, the embedder used where none is plugged in."""
     kind = docs.schema[doc].dataType.simpleString()

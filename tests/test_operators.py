@@ -233,6 +233,13 @@ def test_mmr_and_kcenter_like_plain_loops(spark):
         assert [chosen[k] for k in sorted(chosen)] == want
 
 
+def test_the_registered_index_query_reaches_its_recall(spark):
+    for sf in (SF, "/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        exact = {(r.query, r.vec_id) for r in catalogue.queries()["cosine_topk"](spark, sf).collect()}
+        got = {(r.query, r.vec_id) for r in catalogue.queries()["ivf_search"](spark, sf).collect()}
+        assert exact and len(exact & got) / len(exact) >= 0.9
+
+
 def test_prototypes_are_members(spark):
     e, x = emb(spark)
     got = selection.prototypes(e, "label", [0, 1], 2).collect()
