@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sampling
-
 
 def uncertainty(pred: DataFrame) -> DataFrame:
     """pred with u: its entropy where there is one, else 1 - consistency (null: 0)."""
@@ -31,31 +29,55 @@ def quantile_gate(rows: DataFrame, q: float, *, label: str = "label", score: str
     return rows.join(cut, label).where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
-def k_center(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", vector: str = "embedding", pool: int | None = None, seed=7) -> DataFrame:
+def k_center(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(by, item, rank): farthest-first points of each group, the first the one farthest from the mean; ties by item.
 
-    The greedy choice is sequential. A group goes to one task, so groups are pools that a caller bounds: with
-    pool, the first `pool` rows of each group in keyed-hash order take part, ranked before their vectors move.
+    The greedy choice takes k rounds over all rows. In a round every task holds its rows against their group's chosen
+    points and hands on its farthest row of each group, of which the group's farthest is chosen; so a group of any size
+    is spread over tasks. What is chosen, k points for each group, is on the driver and sent to tasks: groups are
+    labels. A chosen item isn't chosen again. Rows with a null item or vector take no part.
     """
-    ki, kb = rows.schema[item].dataType.simpleString(), rows.schema[by].dataType.simpleString()
-    if pool:
-        w = Window.partitionBy(by).orderBy(sampling.shuffle_key(seed, "kcenter", item), item)
-        rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pool)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(item)
-        x = np.stack(p[vector]).astype(float)
-        far = np.linalg.norm(x - x.mean(0), axis=1)
-        chosen: list[int] = []
-        while len(chosen) < min(k, len(p)):
-            j = int(np.argmax(far))
-            d = np.linalg.norm(x - x[j], axis=1)
-            far = d if not chosen else np.minimum(far, d)
-            chosen.append(j)
-            far[chosen] = -1
-        return pd.DataFrame({by: p[by].iloc[0], item: p[item].to_numpy()[chosen], "rank": range(1, len(chosen) + 1)})
-
-    return rows.select(by, item, vector).groupBy(by).applyInPandas(run, f"{by} {kb}, {item} {ki}, rank long")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, item)}
+    real = rows.where(F.col(item).isNotNull() & F.col(vector).isNotNull()).select(F.col(by).alias("g"), F.col(item).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    per = real.select("g", F.posexplode("v").alias("dim", "x")).groupBy("g", "dim").agg(F.avg("x").alias("x"))
+    mean = per.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s.x).alias("v"))
+    marks = {r.g: np.array([r.v], float) for r in mean.collect()}
+    chosen: dict = {g: [] for g in marks}
+    named = {g: g for g in marks}  # pandas may hold labels as other numbers
+
+    def farthest(marks: dict, taken: dict):
+        def run(batches):
+            best: dict = {}
+            for p in batches:
+                for g, own in p.groupby("g", dropna=False, sort=False):
+                    g = named.get(None if pd.isna(g) else g)
+                    if g not in marks:
+                        continue
+                    own = own[~own["i"].isin(taken[g])]
+                    if not len(own):
+                        continue
+                    x = np.stack(own["v"])
+                    far = np.full(len(x), np.inf)
+                    for m in marks[g]:
+                        far = np.minimum(far, np.linalg.norm(x - m, axis=1))
+                    top = own[far == far.max()].sort_values("i").iloc[0]
+                    if g not in best or (-far.max(), top["i"]) < best[g][:2]:
+                        best[g] = (-far.max(), top["i"], top["v"])
+            if best:
+                yield pd.DataFrame({"g": pd.Series(list(best), dtype=object), "less": [b[0] for b in best.values()], "i": [b[1] for b in best.values()], "v": [b[2] for b in best.values()]})
+
+        return run
+
+    for _ in range(k):
+        ends = real.mapInPandas(farthest(marks, chosen), f"g {kinds[by]}, less double, i {kinds[item]}, v array<double>")
+        got = ends.groupBy("g").agg(F.min(F.struct("less", "i", "v")).alias("b")).collect()
+        for r in got:
+            first = not chosen[r.g]
+            chosen[r.g].append(r.b.i)
+            marks[r.g] = np.array([r.b.v]) if first else np.vstack([marks[r.g], r.b.v])
+        marks = {r.g: marks[r.g] for r in got}  # the others have no row left
+    out = [(g, i, n) for g, items in chosen.items() for n, i in enumerate(items, 1)]
+    return rows.sparkSession.createDataFrame(out, f"{by} {kinds[by]}, {item} {kinds[item]}, rank long")
 
 
 def prototypes(rows: DataFrame, label: str, labels: Sequence, k: int = 8, *, item: str = "vec_id", vector: str = "embedding", seed: int = 5) -> DataFrame:

@@ -611,8 +611,8 @@ def mmr_select(spark, d):
 
 @query()
 def kcenter_select(spark, d):
-    """Greedy; tests hold it against a plain loop. The pool of 50 is the operator's own diversity parameter."""
-    return selection.k_center(table(spark, d, "embeddings"), "label", 10, pool=50)
+    """Greedy over all rows; tests hold it against a plain loop."""
+    return selection.k_center(table(spark, d, "embeddings"), "label", 10)
 
 
 @query()

@@ -240,6 +240,33 @@ def test_the_registered_index_query_reaches_its_recall(spark):
         assert exact and len(exact & got) / len(exact) >= 0.9
 
 
+def test_the_registered_k_center_chooses_among_all_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    got = {}
+    for r in catalogue.queries()["kcenter_select"](spark, sf).collect():
+        got.setdefault(r.label, {})[r["rank"]] = r.vec_id
+    assert set(got) == {r.label for r in rows}
+    for label, chosen in got.items():
+        own = sorted((r.vec_id, r.embedding) for r in rows if r.label == label)
+        x, ids = np.array([v for _, v in own], float), [i for i, _ in own]
+        far, want = np.linalg.norm(x - x.mean(0), axis=1), []
+        for n in range(min(10, len(ids))):
+            j = int(np.argmax(far))
+            d = np.linalg.norm(x - x[j], axis=1)
+            far = np.minimum(far, d) if n else d
+            want.append(ids[j])
+            far[[ids.index(i) for i in want]] = -1
+        assert [chosen[k] for k in sorted(chosen)] == want
+
+
+def test_k_center_with_null_groups_and_equal_rows(spark):
+    d = spark.createDataFrame([(1, None, [0.0]), (2, None, [1.0]), (3, 1, [5.0]), (4, 1, [5.0]), (5, 1, None), (None, 1, [9.0])], "vec_id long, label int, embedding array<double>")
+    got = selection.k_center(d, "label", 3)
+    assert sorted((str(r.label), r["rank"], r.vec_id) for r in got.collect()) == [("1", 1, 3), ("1", 2, 4), ("None", 1, 1), ("None", 2, 2)]
+    assert selection.k_center(d.limit(0), "label", 3).count() == 0
+
+
 def test_prototypes_are_members(spark):
     e, x = emb(spark)
     got = selection.prototypes(e, "label", [0, 1], 2).collect()
