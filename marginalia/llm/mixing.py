@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,23 +18,27 @@ from .common import written
 
 MAX_SOURCES = 1_000
 
+#: Blocks of a source in one row of the schedule's table.
+PIECE = 256
+
 
 def shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Whole slots of each source in a period of at least `slots`, at least one each, in proportion to the weights (largest remainders)."""
+    """Whole slots of each source in a period of at least `slots`, in exactly the proportion of the weights.
+
+    Weights are fractions, so such a period exists; it may be far longer than any schedule.
+    """
     if any(not w > 0 or w == float("inf") for w in weights.values()):
         raise ValueError("weights are positive and finite")
-    slots = max(slots, 4 * len(weights))
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) / total * slots for s, w in weights.items()}
-    got = {s: max(1, int(x)) for s, x in exact.items()}
-    left = slots - sum(got.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, left)]:
-        got[s] += 1
-    return got
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    whole = math.lcm(*[w.denominator for w in exact.values()])
+    got = {s: int(w * whole) for s, w in exact.items()}
+    least = math.gcd(*got.values())
+    times = max(1, -(-slots * least // sum(got.values())))
+    return {s: n // least * times for s, n in got.items()}
 
 
-def period(got: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slot of each block of each source in one period of sum(got) slots.
+def period(got: Mapping[str, int], room: Mapping[str, int]) -> tuple[dict[str, array], int]:
+    """The slot of each block of each source in one period of sum(got) slots, and the slots until its end or until a source has placed its `room`.
 
     Block j of a source with share n of d slots is released at floor(j d / n) and due at
     ceil((j + 1) d / n). Of the released blocks the one that is due first takes the next slot (ties:
@@ -41,8 +49,9 @@ def period(got: Mapping[str, int]) -> dict[str, list[int]]:
     waiting = [(0, -(-d // n), n, s, 0) for s, n in got.items()]  # release, deadline, share, source, block
     heapq.heapify(waiting)
     ready: list = []
-    out: dict[str, list[int]] = {s: [] for s in got}
-    for t in range(d):
+    out: dict[str, array] = {s: array("q") for s in got}
+    t = 0
+    while t < d:
         while waiting and waiting[0][0] <= t:
             _, due, n, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, n, s, j))
@@ -50,16 +59,19 @@ def period(got: Mapping[str, int]) -> dict[str, list[int]]:
         if t >= due:
             raise AssertionError("a deadline was missed")
         out[s].append(t)
+        t += 1
+        if j + 1 == room[s]:
+            break
         if j + 1 < n:
             heapq.heappush(waiting, ((j + 1) * d // n, -(-(j + 2) * d // n), n, s, j + 1))
-    return out
+    return out, t
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = 1000) -> list[tuple[int, int, str, int, int, int, list[int]]]:
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = 1000) -> list[tuple[int, int, str, int, int, int, array]]:
     """(phase, first slot, source, first block, blocks here, period, slots in the period) until all blocks are placed.
 
-    A phase ends when a source runs out; the others go on with their weights among themselves. The
-    work and the result grow with sources and slots, not with blocks.
+    A phase ends when a source runs out; the others go on with their weights among themselves. A phase
+    that is longer than the weights' period repeats it; one that is shorter is scheduled block by block.
     """
     done = dict.fromkeys(blocks, 0)
     out, start = [], 0
@@ -67,11 +79,15 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int =
     number = 0
     while live:
         got = shares({s: weights[s] for s in sorted(live)}, slots)
-        d, plan = sum(got.values()), period(got)
-        last = lambda s, k: (k - 1) // got[s] * d + plan[s][(k - 1) % got[s]]  # noqa: B023, E731  the slot of a source's k-th block
-        end = min(last(s, blocks[s] - done[s]) for s in live) + 1
+        plan, d = period(got, {s: blocks[s] - done[s] for s in live})
+        if d < sum(got.values()):
+            end = d
+        else:
+            last = lambda s, k: (k - 1) // got[s] * d + plan[s][(k - 1) % got[s]]  # noqa: B023, E731  the slot of a source's k-th block
+            end = min(last(s, blocks[s] - done[s]) for s in live) + 1
         for s in sorted(live):
-            here = min(blocks[s] - done[s], end // d * got[s] + bisect.bisect_left(plan[s], end % d))
+            n = len(plan[s])
+            here = min(blocks[s] - done[s], end // d * n + bisect.bisect_left(plan[s], end % d))
             if here:
                 out.append((number, start, s, done[s], here, d, plan[s]))
             done[s] += here
@@ -81,6 +97,18 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int =
     return out
 
 
+def _pieces(blocks: Mapping[str, int], plan: list) -> pa.Table:
+    """(_s, _c, places): the slots of each source's blocks, PIECE blocks a row."""
+    slots = {s: np.empty(n, np.int64) for s, n in blocks.items()}
+    for _, start, s, lo, here, d, places in plan:
+        i, at = np.arange(here), np.array(places, np.int64)
+        slots[s][lo : lo + here] = start + i // len(at) * d + at[i % len(at)]
+    cut = [(s, c, x[c * PIECE : (c + 1) * PIECE]) for s, x in slots.items() for c in range(-(-len(x) // PIECE))]
+    ends = np.concatenate([[0], np.cumsum([len(x) for *_, x in cut], dtype=np.int64)]).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *[x for *_, x in cut]])))
+    return pa.table({"_s": pa.array([s for s, *_ in cut], pa.string()), "_c": pa.array([c for _, c, _ in cut], pa.int64()), "places": places})
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = 32, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
     """docs with block, slot and position: an order in which each prefix has its sources' target weights, every row once.
 
@@ -88,14 +116,14 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     Blocks are scheduled by phases(); position numbers all rows, 0 first, in order of slots. Without
     weights a source of n rows weighs n ** power; a source that the weights leave out weighs
     what the least one does. As long as no source has run out, every prefix has less than one
-    block more or fewer of a source than its target (up to its weight's rounding to 1/slots).
+    block more or fewer of a source than its target, by the weights as given.
     When one runs out, this holds among those that are left. Nothing is dropped or repeated.
     in_order: partitions follow one another by position, each with as many rows and sorted, without a sampling pass.
 
     A null source is a source of its own. Rows that repeat a key, or have none, are ordered by a hash of
     all their columns, and equal rows in any order. Empty tables give no rows; columns of docs that have these `names` are
     replaced. No task holds a source: a row's rank is its rank in one of its source's hash buckets of about bucket_rows rows, plus the rows
-    in the buckets before; sources without rows are fine. At most MAX_SOURCES sources (config-sized) are accepted, since the schedule is made on the driver.
+    in the buckets before; sources without rows are fine. At most MAX_SOURCES sources (config-sized) are accepted, since the schedule is made on the driver, which holds 8 bytes for each block.
     """
     taken = [c for c in docs.columns if c not in names]
     base = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(taken)])
@@ -113,7 +141,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     else:
         known = {"" if s is None else f"={s}": w for s, w in weights.items()}
         given = {s: known.get(s, min(known.values(), default=1.0)) for s in count}
-    plan = phases({s: -(-n // block) for s, n in count.items()}, given, slots)
+    blocks = {s: -(-n // block) for s, n in count.items()}
+    plan = phases(blocks, given, slots)
     spark = docs.sparkSession
     bits = max(0, (max(count.values(), default=1) // bucket_rows).bit_length())
     bucket = F.shiftrightunsigned(F.col("_h"), 64 - bits).cast("long") if bits else F.lit(0).cast("long")
@@ -123,16 +152,10 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key, "_g")) - 1
     ranked = rows.withColumn("_b", bucket).withColumn("_r", rank).join(before, ["_s", "_b"]).withColumn("_r", F.col("_r") + F.col("before"))
     ranked = ranked.withColumn("block", F.floor(F.col("_r") / block).cast("long"))
-    # each row meets the one phase of its source that holds its block
-    table = spark.createDataFrame(plan, "phase long, start long, _s string, lo long, here long, d long, places array<long>").select("_s", "start", "lo", "here", "d", "places")
-    per = table.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("lo", "start", "here", "d", "places"))).alias("_p"))
-    per = F.broadcast(per)  # at most MAX_SOURCES sources and `slots` places for each phase, whatever the rows
-    met = ranked.join(per, "_s")
-    phase = F.element_at(F.filter("_p", lambda p: p.lo <= F.col("block")), -1)
-    met = met.withColumn("_q", phase).drop("_p")
-    i, n = F.col("block") - F.col("_q.lo"), F.size("_q.places").cast("long")
-    slot = F.col("_q.start") + F.floor(i / n) * F.col("_q.d") + F.element_at("_q.places", (F.pmod(i, n) + 1).cast("int"))
-    met = met.withColumn("slot", slot.cast("long")).drop("_q", "_h", "_g", "_b", "before")
+    # each row meets the slots of its source's blocks near its own: 8 bytes a block in all
+    table = F.broadcast(spark.createDataFrame(_pieces(blocks, plan), "_s string, _c long, places array<long>"))
+    met = ranked.withColumn("_c", F.floor(F.col("block") / PIECE).cast("long")).join(table, ["_s", "_c"])
+    met = met.withColumn("slot", F.element_at("places", (F.pmod("block", F.lit(PIECE)) + 1).cast("int"))).drop("places", "_c", "_h", "_g", "_b", "before")
     met = _placed(met, {s: n for s, n in count.items()}, block, plan)
     if in_order:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -64,3 +64,21 @@ def test_in_order_and_odd(spark):
     assert [r.position for r in sorted(parts, key=lambda r: r.p)] == list(range(12))
     assert set(d.columns) <= set(got.columns) and dict(got.dtypes)["position"] == "bigint"
     assert mixing.mix_sources(d.limit(0)).count() == 0 and mixing.mix_sources(d.limit(0), in_order=True).count() == 0
+
+
+def test_lag_is_under_a_block_by_the_given_weights():
+    rows = {"hot": 3_000_000, **{f"s{i:02}": 300_000 for i in range(20)}}
+    blocks, weights = {s: -(-n // 32) for s, n in rows.items()}, {s: n**0.7 for s, n in rows.items()}
+    plan = [r for r in mixing.phases(blocks, weights) if r[0] == 0]
+    total = sum(map(Fraction, weights.values()))
+    got, n = placed(plan), dict.fromkeys(rows, 0)
+    assert [t for t, *_ in got] == list(range(len(got)))
+    for t, s, _ in got:
+        n[s] += 1
+        assert t % 97 or all(abs(k - Fraction(weights[x]) / total * (t + 1)) < 1 for x, k in n.items())
+
+
+def test_a_small_source_keeps_its_weight():
+    blocks = {"big": 20_000, "small": 1000}
+    got = placed([r for r in mixing.phases(blocks, {"big": 0.9992, "small": 0.0008}) if r[0] == 0])
+    assert abs(sum(s == "small" for _, s, _ in got) - 0.0008 * len(got)) < 1
