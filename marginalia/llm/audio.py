@@ -211,22 +211,33 @@ def match_audio(prints: DataFrame, is_query, *, key: str, min_hits: int = 6, max
 
 
 def search_audio(prints: DataFrame, is_query, *, key: str, **how) -> DataFrame:
-    """(key, n_prints, n_matches, best_id, best_hits, best_offset, best_ber): a row for each query row.
+    """(key, n_prints, n_matches, best_id, best_hits, best_offset, best_ber, recording, matches): a row for each query row.
 
     n_matches counts the other rows that align, equal ones included. The best is the one with the
     fewest bit errors, then most hits, then the smallest key: an equal row (offset 0, no errors) where there is one.
+    recording is the smallest key of the rows with equal integers. matches holds all that align, the best first: a
+    (recording, ids, hits, offset, ber) for each recording, the own one included where it has other rows; ids
+    are its rows' keys in order, without the query's own. Empty where nothing aligns.
     """
     hashed = prints.select(F.col(key), "prints", F.size("prints").cast("long").alias("n_prints"), F.xxhash64(F.lit(5), "prints").alias("h1"), F.xxhash64(F.lit(6), "prints").alias("h2"))
     real = hashed.where((F.col("n_prints") > 0) & F.col(key).isNotNull())
     ids = real.groupBy("h1", "h2").agg(F.min(key).cast("long").alias("query"), F.count("*").alias("copies"), F.sort_array(F.array_distinct(F.array(F.min(key), F.max(key)))).alias("_ends"))
     # the smallest other key of a class is its smallest, but for that row itself the next one
-    found = match_audio(prints, is_query, key=key, **how)
+    found = written(match_audio(prints, is_query, key=key, **how), "matches")
+    members = real.join(ids.select("h1", "h2", F.col("query").alias("match")), ["h1", "h2"]).groupBy("match").agg(F.sort_array(F.collect_list(F.col(key).cast("long"))).alias("ids"))
+    listed = found.join(members, "match").groupBy("query").agg(F.collect_list(F.struct("ber", (-F.col("hits")).alias("less"), F.col("match").alias("recording"), "ids", "offset")).alias("_m"))
     best = found.groupBy("query").agg(F.sum("rows").alias("others"), F.min(F.struct("ber", (-F.col("hits")).alias("less"), F.col("match").alias("id"), F.abs("offset").alias("far"), "offset")).alias("b"))
-    q = hashed.where(is_query).join(ids, ["h1", "h2"], "left").join(best, "query", "left")
+    q = hashed.where(is_query).join(ids, ["h1", "h2"], "left").join(best, "query", "left").join(listed, "query", "left")
+    q = q.join(members.where(F.size("ids") > 1).select(F.col("match").alias("query"), F.col("ids").alias("_own")), "query", "left")
     has = (F.col("n_prints") > 0) & F.col(key).isNotNull() & (F.col("copies") > 1)
     twin = F.when(F.col("query") == F.col(key), F.element_at("_ends", -1)).otherwise(F.col("query")).cast("long")
     pick = lambda same, other: F.when(has, same).otherwise(other)
     distinct_n = F.size(F.array_distinct("prints")).cast("long")
+    match = lambda recording, ids, hits, offset, ber: F.struct(recording.alias("recording"), ids.alias("ids"), hits.alias("hits"), offset.alias("offset"), ber.alias("ber"))
+    others = F.transform(F.array_sort(F.coalesce("_m", F.array().cast(listed.schema["_m"].dataType))), lambda m: match(m.recording, m.ids, -m.less, m.offset, m.ber))
+    mine = F.col(key).cast("long")
+    rest = F.concat(F.slice("_own", 1, F.array_position("_own", mine).cast("int") - 1), F.slice("_own", F.array_position("_own", mine).cast("int") + 1, F.size("_own")))
+    same = F.array(match(F.col("query"), rest, distinct_n, F.lit(0).cast("long"), F.lit(0.0)))
     return q.select(
         F.col(key),
         "n_prints",
@@ -235,6 +246,8 @@ def search_audio(prints: DataFrame, is_query, *, key: str, **how) -> DataFrame:
         pick(distinct_n, -F.col("b.less")).alias("best_hits"),
         pick(F.lit(0).cast("long"), F.col("b.offset")).alias("best_offset"),
         pick(F.lit(0.0), F.col("b.ber")).alias("best_ber"),
+        F.when(F.col(key).isNotNull(), F.col("query")).alias("recording"),
+        F.when(has, F.concat(same, others)).when(F.col(key).isNotNull(), others).otherwise(F.slice(others, 1, 0)).alias("matches"),
     )
 
 

@@ -80,3 +80,19 @@ def test_sonified_and_empty(spark):
     assert got[1] and got[4] and got[2] is None and got[3] is None
     e = A.fingerprints(A.sonified(v.limit(0)), key="vec_id")
     assert A.search_audio(e, F.col("vec_id") % 20 == 0, key="vec_id").count() == 0
+
+
+def test_all_matches_are_returned(spark):
+    c = clips()
+    c[7] = c[0]  # one more copy
+    prints = A.fingerprints(spark.createDataFrame([(k, A.encode_wav(0.9 * v, 2048)) for k, v in c.items()], "id long, audio binary"), key="id").cache()
+    p = {r.id: np.array(r.prints, np.int64).astype(np.uint32) for r in prints.collect()}
+    for r in A.search_audio(prints, F.col("id") % 10 == 0, key="id").collect():
+        want = {}
+        for m in p:
+            if m != r.id and (a := A.align(p[r.id], p[m], 0.2)) and a[0] >= min(6, len(np.unique(p[r.id]))):
+                want[m] = a
+        got = {i: (m.hits, m.offset, m.ber) for m in r.matches for i in m.ids}
+        assert got == want and sum(len(m.ids) for m in r.matches) == r.n_matches == len(want)
+        assert [m.ber for m in r.matches] == sorted(m.ber for m in r.matches) and all(m.recording == min([*m.ids, r.id] if m.recording == r.recording else m.ids) for m in r.matches)
+        assert r.best_id in r.matches[0].ids if r.matches else r.best_id is None
