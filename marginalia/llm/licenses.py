@@ -47,6 +47,10 @@ TAGS = {"spdx license identifier": False, "license": True, "licence": True}
 
 FAMILIES = ["mit", "apache", "lgpl", "agpl", "gpl", "bsd", "mpl", "epl", "isc", "cc0", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "unlicense", "zlib", "bsl"]
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "cc0", "cc-by", "unlicense", "zlib", "bsl", "public-domain"}
+#: Permissive ids outside the families, lower-cased.
+PERMISSIVE |= {"0bsd", "afl-3.0", "artistic-2.0", "blueoak-1.0.0", "ncsa", "postgresql", "psf-2.0", "python-2.0", "unicode-3.0", "unicode-dfs-2016", "upl-1.0", "wtfpl", "x11"}
+#: What an SPDX tag says where there is no licence.
+NO_IDS = {"none", "noassertion"}
 WEIGHT = {"tag": 0.95, "base": 0.9, "notice": 0.7}
 
 #: Words of the scan: after lower-casing A-Z, runs of digits, a-z and everything beyond ASCII.
@@ -66,6 +70,11 @@ def family(licence_id: str) -> str | None:
     return next((f for f in FAMILIES if s == f or s.startswith(f + "-") or s == f + "+"), None)
 
 
+def label_of(licence_id: str) -> str:
+    """The family of an id, or the lower-cased id where it belongs to none."""
+    return family(licence_id) or licence_id.lower()
+
+
 def parse(text: str) -> list[tuple[str, str]] | None:
     """The licence expression at the start of text in postfix order: ("id", x) and ("op", and/or/with); None if there is none.
 
@@ -111,11 +120,11 @@ def parse(text: str) -> list[tuple[str, str]] | None:
 
 
 def evaluate(postfix: list[tuple[str, str]], permissive=PERMISSIVE) -> bool:
-    """Whether a choice that the expression grants is permissive: or needs one side, and both; with keeps its licence's value."""
+    """Whether a choice that the expression grants is permissive: or needs one side, and both; with keeps its licence's value. Ids that `permissive` doesn't hold, as a family or lower-cased, aren't."""
     stack: list[bool] = []
     for kind, x in postfix:
         if kind == "id":
-            stack.append(family(x) in permissive)
+            stack.append(label_of(x) in permissive)
         else:
             b, a = stack.pop(), stack.pop()
             stack.append(a or b if x == "or" else a and b if x == "and" else a)
@@ -152,8 +161,10 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ba
     hits: array of (kind, label, word), in the order of their words: each place where the words of
     a base phrase ("base") or notice phrase ("notice"; of overlapping ones that start together the
     longest) stand consecutively, whatever stands between them, and each licence id ("tag") of a
-    licence expression that follows a tag on its line. expression: the first such expression;
-    permissive: its value (evaluate), null without one.
+    licence expression that follows a tag on its line. After "SPDX-License-Identifier:" every id counts, labelled by
+    its family, or lower-cased without one; after a bare "license:", or an SPDX tag without its colon, where prose may
+    follow, only expressions with an id of a known family, and of these the known ids. expression: the first such
+    expression; permissive: its value (evaluate), null without one.
 
     A null text counts as empty: no words, no hits. Repeated rows and keys are each scanned, rows
     with a null key too. Columns other than key and text are not read. One pass without a
@@ -223,10 +234,12 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ba
             for e, w, colon in sorted(tags.get(d, [])):
                 raw = data[e : off[d + 1]].tobytes()
                 line = raw.split(b"\n", 1)[0].split(b"\r", 1)[0].decode("utf-8", "replace")
-                if colon and not re.match(r"[ \t]*:", line):
+                marked = bool(re.match(r"[ \t]*:", line))
+                if colon and not marked:
                     continue
                 x = parse(line.lstrip(" \t:"))
-                known = [family(i) for i in ids_of(x)] if x else []
+                ids = ids_of(x) if x else []
+                known = [label_of(i) for i in ids if i.lower() not in NO_IDS] if marked and not colon else [family(i) for i in ids]
                 if not any(known):
                     continue
                 if exprs[d] is None:

@@ -57,3 +57,14 @@ def test_shunting_yard():
 def test_odd(spark):
     assert L.license_digest(L.license_scan(odd_docs(spark))).count() == 12
     assert L.license_scan(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_spdx_tags_keep_ids_of_no_family(spark):
+    texts = ["SPDX-License-Identifier: CDDL-1.0", "# SPDX-License-Identifier: MIT AND LicenseRef-Own", "SPDX-License-Identifier: PSF-2.0\nmore", "License: unknown to us", "SPDX-License-Identifier: NONE", "SPDX-License-Identifier: EUPL-1.2 OR WTFPL"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score, r.expression, r.permissive) for r in L.license_digest(L.license_scan(docs)).collect()}
+    assert got[0] == ("cddl-1.0", 0.95, "CDDL-1.0", False)
+    assert got[1] == ("licenseref-own,mit", 0.9975, "MIT AND LicenseRef-Own", False)
+    assert got[2] == ("psf-2.0", 0.95, "PSF-2.0", True)
+    assert got[3] == got[4] == ("", 0.0, None, None)
+    assert got[5] == ("eupl-1.2,wtfpl", 0.9975, "EUPL-1.2 OR WTFPL", True)
