@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections.abc import Mapping
 from functools import lru_cache
 
 import pyarrow as pa
@@ -16,23 +17,32 @@ from .common import stream
 # --- keyed bijections ------------------------------------------------------------------------
 
 
-def permute(x: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed bijection of range(size): a balanced Feistel network, walked until it is back in range."""
+def permute(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed bijection of range(size), or its inverse: a balanced Feistel network, walked until it is back in range."""
     if size < 2:
         return x
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
     salt = hashlib.blake2b(tweak.encode(), digest_size=16).digest()
+
+    def mixed(r: int, b: int) -> int:
+        f = hashlib.blake2b(bytes([r]) + salt + b.to_bytes(width, "big"), key=key[:64], digest_size=min(64, width + 8)).digest()
+        return int.from_bytes(f * (-(-width // len(f))), "big") & mask
+
     while True:
         a, b = x >> half, x & mask
-        for r in range(8):
-            f = hashlib.blake2b(bytes([r]) + salt + b.to_bytes(width, "big"), key=key[:64], digest_size=min(64, width + 8)).digest()
-            a, b = b, a ^ (int.from_bytes(f * (-(-width // len(f))), "big") & mask)
+        for r in range(7, -1, -1) if back else range(8):
+            a, b = (b ^ mixed(r, a), a) if back else (b, a ^ mixed(r, b))
         x = a << half | b
         if x < size:
             return x
 
 
+def moved(x: int, size: int, key: bytes, tweak: str) -> int:
+    """A keyed bijection of range(size) without fixed points: the next number on one cycle through all, in the order of permute."""
+    return permute((permute(x, size, key, tweak) + 1) % size, size, key, tweak, back=True)
+
+
 _ALPHABETS = [
     "0123456789",
     "aeiou",
@@ -51,7 +61,7 @@ def reshaped(text: str, key: bytes, tweak: str, keep: int = 0, alphabets=None) -
     """text with each digit, vowel and consonant (by script, case kept) replaced in kind, by a bijection of all texts of that shape.
 
     The first `keep` characters, and those of no alphabet, stay. Texts of one shape get distinct
-    replacements; that a text is its own replacement has the chance of one in all texts of its shape.
+    replacements, and none is its own, unless it is the only one of its shape.
     """
     digits, shape = [], []
     for i, c in enumerate(text):
@@ -68,7 +78,7 @@ def reshaped(text: str, key: bytes, tweak: str, keep: int = 0, alphabets=None) -
     if size < 2:
         return text
     mark = f"{tweak}|{keep}|{''.join('.' if a is None else a[0].upper() if u else a[0] for a, u in shape)}|{text[:keep]}"
-    y = permute(x, size, key, mark)
+    y = moved(x, size, key, mark)
     out = []
     for a, up in reversed(shape):
         if a is None:
@@ -134,9 +144,13 @@ def _card(text: str, key: bytes) -> str:
     return _refill(text, new)
 
 
+#: Country codes of two digits; those that start with 1 or 7 have one, others three.
+_TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(text: str, key: bytes) -> str:
     d = re.sub(r"\D", "", text)
-    keep = len(re.match(r"\+?(\d{0,3})", text)[1]) if text.startswith("+") else 0
+    keep = (1 if d[0] in "17" else 2 if d[:2] in _TWO else 3) if text.startswith("+") else 0  # by digits alone, however they are grouped
     return _refill(text, reshaped(d, key, "phone", min(keep, max(0, len(d) - 6))))
 
 
@@ -146,7 +160,7 @@ def _ip(text: str, key: bytes) -> str:
     x = 0
     for p in text.split("."):
         x = x << 8 | int(p)
-    y = permute(x, 1 << 32, key, "ip4")
+    y = moved(x, 1 << 32, key, "ip4")
     return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -169,10 +183,16 @@ def _secret(text: str, key: bytes) -> str:
     return reshaped(text, key, "secret", keep, _HEX if re.fullmatch("[0-9a-f]+", text) else None)
 
 
-def surrogate(kind: str, text: str, key: bytes) -> str:
-    """The replacement of an entity: a function of key, kind and the entity, injective for each kind up to separators and case."""
-    new = _made(kind, text, key)
-    return new if new != text else _made(kind, text, key[::-1] + b"again")  # the rare fixed point of a bijection
+def surrogate(kind: str, text: str, key: bytes, again: int = 0) -> str:
+    """The replacement of an entity: a function of key, kind and the entity, injective for each kind up to separators and case. again: another one."""
+    return _made(kind, text, hashlib.blake2b(again.to_bytes(4, "big"), key=key[:64]).digest() if again else key)
+
+
+def plain(kind: str, text: str) -> str:
+    """text without the separators and case that don't tell entities of the kind apart."""
+    if kind in ("phone", "card", "iban"):
+        return re.sub(r"[^\w+]|_", "", text)
+    return text.lower() if kind == "email" else text
 
 
 @lru_cache(100_000)
@@ -250,7 +270,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
-def replace_pii(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def replace_pii(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: str = "text", again: Mapping[tuple[str, str], int] | None = None) -> DataFrame:
     """(key, text, entities) for each row of docs; entities: array of (start, end, kind, surrogate), in characters of the given text.
 
     Every entity of the whole text is replaced by its surrogate, a function of the secret and the
@@ -259,6 +279,8 @@ def replace_pii(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: st
     stay digits, letters keep script, case and kind (vowel, consonant), separators, country codes, card brands, check digits and top-level
     domains stay valid; listed given names become others of their gender. Text outside entities stays as it is.
 
+    again: what settled() found for these docs.
+
     A null text stays null without entities, an empty one empty. Repeated rows and null keys are
     each handled; columns other than key and text aren't read. One pass, no shuffle.
     """
@@ -270,7 +292,7 @@ def replace_pii(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: st
             found = entities(s)
             at, parts = 0, []
             for a, b, kind in found:
-                new = surrogate(kind, s[a:b], secret)
+                new = surrogate(kind, s[a:b], secret, again.get((kind, plain(kind, s[a:b])), 0) if again else 0)
                 flat.append({"start": a, "end": b, "kind": kind, "surrogate": new})
                 parts += [s[at:a], new]
                 at = b
@@ -284,17 +306,44 @@ def replace_pii(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: st
     return got.select(F.col("_key").alias(key), F.col("_out").alias(text), "entities")
 
 
+def _shared(docs: DataFrame, secret: bytes, text: str, again: Mapping[tuple[str, str], int] | None = None) -> DataFrame:
+    """(kind, surrogate, entities): surrogates of more than one entity, separators and case aside. Entities are combined before their shuffle."""
+
+    def run(r: pa.RecordBatch, off, data) -> pa.RecordBatch | None:
+        found = set()
+        for s in r.column(0).to_pylist():
+            for a, b, kind in entities(s):
+                own = plain(kind, s[a:b])
+                found.add((kind, plain(kind, surrogate(kind, s[a:b], secret, again.get((kind, own), 0) if again else 0)), own))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*found, strict=True)], names=["kind", "surrogate", "entity"]) if found else None
+
+    got = stream(docs, [F.coalesce(F.col(text), F.lit("")).alias("_text")], run, "kind string, surrogate string, entity string")
+    return got.distinct().groupBy("kind", "surrogate").agg(F.sort_array(F.collect_list("entity")).alias("entities")).where(F.size("entities") > 1)
+
+
 def collisions(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(kind, surrogate, n): surrogates that more than one entity has, separators and case aside; none are expected. Combined before its shuffle."""
-    found = replace_pii(docs, secret, key=key, text=text).withColumnRenamed(text, "_new")
-    both = docs.select(F.col(key), F.col(text).alias("_old")).join(found, key)
-    e = both.select("_old", F.explode("entities").alias("e")).select("e.kind", "e.surrogate", F.substring("_old", F.col("e.start").cast("int") + 1, (F.col("e.end") - F.col("e.start")).cast("int")).alias("entity"))
-    norm = F.when(F.col("kind").isin("phone", "card"), F.regexp_replace("entity", r"\D", "")).when(F.col("kind") == "email", F.lower("entity")).otherwise(F.col("entity"))
-    made = F.when(F.col("kind").isin("phone", "card"), F.regexp_replace("surrogate", r"\D", "")).otherwise(F.col("surrogate"))
-    return e.select("kind", made.alias("surrogate"), norm.alias("entity")).distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+    """(kind, surrogate, n): surrogates that more than one entity has, separators and case aside; none are expected."""
+    return _shared(docs, secret, text).select("kind", "surrogate", F.size("entities").cast("long").alias("n"))
+
+
+def settled(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: str = "text", rounds: int = 8) -> dict[tuple[str, str], int]:
+    """(kind, entity) -> again, so that no two entities of docs share a surrogate: of those that do, all but the first in order take another, until none does.
+
+    A pass over docs for each round, mostly one; only the entities found come to the driver.
+    """
+    again: dict[tuple[str, str], int] = {}
+    for _ in range(rounds):
+        both = _shared(docs, secret, text, again).collect()
+        if not both:
+            return again
+        for r in both:
+            for e in r.entities[1:]:
+                again[r.kind, e] = again.get((r.kind, e), 0) + 1
+    raise RuntimeError("entities still share surrogates")
 
 
 def pii_digest(docs: DataFrame, secret: bytes, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_entities, kinds, text) of replace_pii; kinds distinct, sorted and comma-joined."""
+    """(key, n_entities, kinds, text) of replace_pii after settled(); kinds distinct, sorted and comma-joined."""
+    again = settled(docs, secret, key=key, text=text)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e.kind))), ",")
-    return replace_pii(docs, secret, key=key, text=text).select(key, F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), text)
+    return replace_pii(docs, secret, key=key, text=text, again=again).select(key, F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), text)

@@ -60,3 +60,35 @@ def test_whole_texts_and_odd_rows(spark):
             assert "Version 3, 2024, 4.0, 12:30." in r.text
     assert pii.collisions(d.distinct(), KEY).count() == 0
     assert pii.pii_digest(odd_docs(spark), KEY).count() == 12 and pii.pii_digest(d.limit(0), KEY).count() == 0
+
+
+def test_no_fixed_points():
+    key = b"a key that a deployment keeps to itself"
+    for n in (2, 3, 10, 97, 1000):
+        got = [pii.moved(i, n, key, "t") for i in range(n)]
+        assert sorted(got) == list(range(n)) and all(i != y for i, y in enumerate(got))
+    names = [f"{t}{c}{v}n" for t in ("Mr ", "") for c in ("", *"BDFL") for v in ("A" if not c else "a", "E" if not c else "e", "I" if not c else "i", "O" if not c else "o", "U" if not c else "u")]
+    short = [n for n in names if not n.startswith("Mr ")]
+    got = [pii.surrogate("name", n, key) for n in short if n.lower() not in pii._POOL]
+    assert len(set(got)) == len(got) and not any(a == b for a, b in zip(got, (n for n in short if n.lower() not in pii._POOL), strict=True))
+    assert pii.surrogate("name", "Maria Said", key).split()[1] == pii.surrogate("name", "Said", key) != "Said"
+    assert pii.surrogate("phone", "+1 988 555 2485", key).replace(" ", "") == pii.surrogate("phone", "+19885552485", key)
+
+
+def test_the_query_settles_collisions(spark, monkeypatch):
+    made = pii._made
+    monkeypatch.setattr(pii, "_made", lambda kind, text, key: "Zed" if key == KEY and text in ("Alpha", "Bravo") else made(kind, text, key))
+    rows = [{"kind": "name", "text": x} for x in ("Alpha", "Bravo")]
+    d = spark.createDataFrame([(i, f"Mr {r['text']} came.") for i, r in enumerate(rows)], "doc_id long, text string")
+    seen = []
+    real = pii._shared
+
+    def shared(docs, secret, text, again=None):
+        seen.append(dict(again or {}))
+        hit = [] if again else [("name", "Zed", ["Alpha", "Bravo"])]
+        return spark.createDataFrame(hit, "kind string, surrogate string, entities array<string>") if not again else real(docs, secret, text, again)
+
+    monkeypatch.setattr(pii, "_shared", shared)
+    got = {r.doc_id: r.text for r in pii.pii_digest(d, KEY).collect()}
+    assert len(seen) == 2 and seen[1] == {("name", "Bravo"): 1} and got[0] != got[1]
+    assert pii.surrogate("name", "Bravo", KEY, 1) in got[1]
