@@ -1,91 +1,137 @@
-"""Line dedup: levelled sorted runs of line hashes that each new batch is anti-joined with and added to."""
+"""Line dedup: levelled sorted runs of line hashes that each new batch is merge-anti-joined with before it adds its own."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, forget, hash2, offsets_of, slices, written
+from ..sources.staging import shared_dir
+from .common import delete, forget, offsets_of, slices, written
 
-BLANK = " \t\n\x0b\x0c\r"
-SEEDS = (0x51ED27, 0x2C1B3C6D)
+BLANK = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def key_of(line):
-    return ascii_lower(F.btrim(line, F.lit(BLANK)))
+def _digest(line: bytes, min_chars: int) -> bytes | None:
+    """128 bits of a line's key, None for a key of fewer than min_chars code points."""
+    import xxhash
+
+    k = line.strip(BLANK).translate(_LOWER)
+    if len(k) < min_chars or len(k) < 4 * min_chars and len(k.decode("utf-8", "replace")) < min_chars:
+        return None
+    return xxhash.xxh3_128_digest(k)
 
 
 def line_keys(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(h1, h2, doc): a 128-bit hash of each line key that counts; rows without a doc or text give none."""
-    lines = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.explode(F.split(text, "\n", -1)).alias("_line"))
-    return lines.select("doc", key_of(F.col("_line")).alias("_key")).where(F.char_length("_key") >= min_chars).select(*hash2("_key"), "doc")
+    """(h1, h2, doc): a 128-bit hash of each line key that counts, once for each row; rows without a doc or text give none."""
+
+    def run(batches):
+        for r in batches:
+            off, data = offsets_of(r.column(1))
+            for lo, hi in slices(off):
+                found, row = [], []
+                for i in range(lo, hi):
+                    own = {_digest(x, min_chars) for x in data[off[i] : off[i + 1]].tobytes().split(b"\n")}
+                    own.discard(None)
+                    found += own
+                    row.append(len(own))
+                h = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+                at = pa.array(np.repeat(np.arange(lo, hi), row))
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), r.column(0).take(at)], names=["h1", "h2", "doc"])
 
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.where(F.col(key).isNotNull() & (F.octet_length(text) >= min_chars)).select(F.col(key), F.col(text)).mapInArrow(run, f"h1 long, h2 long, doc {kind}")
 
-class LineRuns:
-    """Sorted runs of (h1, h2, doc) on levels: `fanout` runs of a level are merged into one of the next.
 
-    A run is a written table in the shared folder, whose files are each sorted by (h1, h2, doc). A
-    batch becomes a level-0 run without a shuffle. Merging spreads rows by all three columns, so a
-    line that a third of all documents hold is spread too, and leaves each row once.
+class LineRuns:
+    """Sorted runs of (h1, h2, docs) on levels: `fanout` runs of a level are compacted into one of the next.
+
+    docs are the min_docs largest documents that hold the line, largest first: enough to tell whether so many
+    hold it and which is the last, and runs can be merged in any order and with repeats. A run is a table in the
+    shared folder, bucketed and sorted by (h1, h2), so that merge joins with it move none of its rows. A
+    batch is cut to its min_docs largest documents a line before it is shuffled, so a line that a
+    third of all documents hold is a few rows of each task. Then it is merge-anti-joined with the
+    runs: lines of which a run knows min_docs documents and a larger one add nothing and are
+    left out. The rest becomes a level-0 run.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, min_docs: int = 3, fanout: int = 4):
+        self.spark, self.min_docs, self.fanout = spark, max(1, min_docs), fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"marginalia_run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, f"{shared_dir(self.spark)}/{name}")
+
+    def _union(self, names: list[str]) -> DataFrame:
+        # as plain files: a union of bucketed scans claims their partitioning, though it doesn't line up their buckets
+        both = self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*[f"{shared_dir(self.spark)}/{n}" for n in names])
+        if len(names) == 1:
+            return both
+        docs = F.sort_array(F.array_distinct(F.flatten(F.collect_list("docs"))), False)  # at most min_docs of each run
+        return both.groupBy("h1", "h2").agg(F.slice(docs, 1, self.min_docs).alias("docs"))
+
+    def fresh(self, rows: DataFrame) -> DataFrame:
+        """(h1, h2, docs) of a batch's line_keys() that tell the runs something new."""
+        rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy(F.desc("doc")))
+        top = rows.withColumn("_r", rank).where(F.col("_r") <= self.min_docs)
+        new = top.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("doc"), False).alias("docs"))
+        for name in [n for level in self.levels for n in level]:
+            run = self.spark.table(name).where(F.size("docs") >= self.min_docs).select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.col("docs")[0].alias("_last"))
+            new = new.join(run.hint("merge"), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")) & (F.col("docs")[0] <= F.col("_last")), "left_anti")
+        return new
 
     def add(self, rows: DataFrame) -> None:
         """Adds a batch's line_keys()."""
-        self.levels[0].append(written(rows.sortWithinPartitions("h1", "h2", "doc"), "run"))
+        self.levels[0].append(self._write(self.fresh(rows)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[level + 1].append(self._merge(self.levels[level]))
-            self.levels[level] = []
+            self._compact(level, level + 1)
             level += 1
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.union(r)
-        out = written(both.distinct().sortWithinPartitions("h1", "h2", "doc"), "run")
-        for r in runs:
-            forget(r)
-        return out
+    def _compact(self, first: int, to: int) -> None:
+        """All runs of the levels from first up to `to`, but not its own, become one run there."""
+        names = [n for level in self.levels[first:to] for n in level]
+        self.levels[to].append(self._write(self._union(names)))
+        for k in range(first, to):
+            self.levels[k] = []
+        self._drop(names)
 
     def merged(self) -> DataFrame | None:
-        """All runs as one, each (h1, h2, doc) once; None before any batch."""
-        runs = [r for level in self.levels for r in level]
-        if not runs:
+        """All runs as one, each line once; None before any batch. More batches may be added after it."""
+        if not any(self.levels):
             return None
-        if len(runs) > 1 or self.levels[0]:
-            self.levels = [[]] * (len(self.levels)) + [[self._merge(runs)]]
-        return self.levels[-1][0]
+        if sum(map(len, self.levels)) > 1:
+            self.levels.append([])
+            self._compact(0, len(self.levels) - 1)
+        return self.spark.table(next(level[0] for level in self.levels if level))
 
-    def doomed(self, min_docs: int) -> DataFrame:
-        """(h1, h2, last): keys that at least min_docs documents hold, with the largest of them. Counts are combined before the shuffle."""
-        return self.merged().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
+    def doomed(self) -> DataFrame:
+        """(h1, h2, last): lines that at least min_docs documents hold, with the largest of them."""
+        runs = self._union([n for level in self.levels for n in level])
+        return runs.where(F.size("docs") >= self.min_docs).select("h1", "h2", F.col("docs")[0].alias("last"))
 
     def close(self) -> None:
-        for r in [r for level in self.levels for r in level]:
-            forget(r)
+        self._drop([n for level in self.levels for n in level])
+        self.levels = [[]]
 
 
 def _strike(min_chars: int, digest: bool):
-    import xxhash
-
-    seeds = [xxhash.xxh64_intdigest(s.to_bytes(4, "little"), 42) for s in SEEDS]  # as Spark chains its hashes
-
-    def hashes(line: bytes) -> bytes | None:
-        k = line.strip(BLANK.encode()).translate(_LOWER)
-        if len(k) < min_chars or len(k) < 4 * min_chars and len(k.decode("utf-8", "replace")) < min_chars:
-            return None
-        return xxhash.xxh64_digest(k, seeds[0]) + xxhash.xxh64_digest(k, seeds[1])
-
     def run(batches):
         for r in batches:
             *carried, struck, texts = range(r.num_columns)
@@ -102,7 +148,7 @@ def _strike(min_chars: int, digest: bool):
                     if given[i]:
                         bad = set(bytes(x) for x in marks[i].as_py())
                         lines = b.split(b"\n")
-                        kept = [x for x in lines if hashes(x) not in bad]
+                        kept = [x for x in lines if _digest(x, min_chars) not in bad]
                         d, b = n - len(kept), b"\n".join(kept)
                     total.append(n)
                     dropped.append(d)
@@ -121,26 +167,36 @@ def line_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_
     its lines except in the largest document that holds it. batches: docs in parts that come one
     after the other (default: one part).
 
+    Each batch's line keys are written once, merge-anti-joined with the runs and added to them
+    (LineRuns). What a line's fate is depends on all batches, so it is read from the runs after the last one.
+
     Nulls: a null text is one empty line and becomes an empty text; a row with a null key is no
     document, it neither counts nor loses lines. Rows that repeat a key are one document and each
     keep or lose the same lines. Empty tables give no rows. Columns of docs stay; ones that have
     the names of `counts` are replaced. Line hashes have 128 bits.
 
-    The runs hold 24 bytes a line and are shuffled three times; texts are shuffled once, to meet the lines
-    that their document loses, or not at all where these are few enough for a broadcast.
+    Line keys take 24 bytes and are shuffled twice, to their run and to the lines that go (split where
+    a line is hot, by adaptive execution; not at all where these are few enough for a broadcast). Texts
+    are shuffled once, to meet the lines that their document loses, under the same rule.
     """
     spark = docs.sparkSession
-    runs = LineRuns(spark)
+    runs, held = LineRuns(spark, min_docs), []
     for part in batches if batches is not None else [docs]:
-        runs.add(line_keys(part, key, text, min_chars))
-    if runs.merged() is None:
-        runs.add(line_keys(docs.limit(0), key, text, min_chars))
-    doomed = written(runs.doomed(min_docs), "doomed")
-    lost = runs.merged().join(doomed, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
+        held.append(written(line_keys(part, key, text, min_chars), "keys"))
+        runs.add(held[-1])
+    if not held:
+        held.append(written(line_keys(docs.limit(0), key, text, min_chars), "keys"))
+        runs.add(held[-1])
+    doomed = written(runs.doomed(), "doomed")
+    runs.close()
+    keys = held[0]
+    for h in held[1:]:
+        keys = keys.union(h)
+    lost = keys.join(F.broadcast(doomed) if _small(doomed) else doomed, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
     both = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("h1", "h2")])
     lost = written(lost.groupBy("doc").agg(F.collect_list(both).alias("_struck")), "struck")
-    runs.close()
-    forget(doomed)
+    for h in [*held, doomed]:
+        forget(h)
     carried = [key] if digest else [c for c in docs.columns if c not in (text, *counts)]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     lost = lost.withColumnRenamed("doc", "_doc")

@@ -42,6 +42,21 @@ def test_runs_are_levelled_and_merged(spark):
         runs.add(spark.createDataFrame([(k % 2, 1, 9), (k, 2, k)], "h1 long, h2 long, doc long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.merged().count() == 2 + 5
+    for k in range(5, 8):  # goes on after merging
+        runs.add(spark.createDataFrame([(0, 1, k), (k, 2, k)], "h1 long, h2 long, doc long"))
+    assert {(r.h1, r.h2): list(r.docs) for r in runs.merged().collect()} == {(0, 1): [9, 7, 6], (1, 1): [9], **{(k, 2): [k] for k in range(8)}}
+    assert [tuple(r) for r in runs.doomed().collect()] == [(0, 1, 9)]
+    runs.close()
+
+
+def test_batches_add_only_what_the_runs_do_not_know(spark):
+    runs = lines.LineRuns(spark)
+    runs.add(spark.createDataFrame([(1, 1, d) for d in (5, 6, 7, 8)] + [(2, 1, 8), (3, 1, 1), (3, 1, 2), (3, 1, 3)], "h1 long, h2 long, doc long"))
+    batch = spark.createDataFrame([(1, 1, 4), (1, 1, 8), (2, 1, 4), (2, 1, 4), (3, 1, 9), (4, 1, 4)], "h1 long, h2 long, doc long")
+    fresh = runs.fresh(batch)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan
+    assert {(r.h1, tuple(r.docs)) for r in fresh.collect()} == {(2, (4,)), (3, (9,)), (4, (4,))}
     runs.close()
 
 
