@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,38 +54,61 @@ def shingles(off: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return g[keep], upto[at], classes
 
 
-def depth_for(threshold: float, trees: int, recall: float) -> int:
-    """The longest matched prefix at which pairs at the threshold are still found with the recall."""
+def multipliers(trees: int) -> np.ndarray:
+    return np.random.default_rng(20240229).integers(1, 2**63, 3 * trees, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minhashes(g: np.ndarray, start: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    """(functions, sets): mixed minima of each function over each set, which begins at start."""
+    least = np.zeros((len(mult), len(start)), np.uint64)
+    if len(start):
+        for f in range(len(mult)):
+            least[f] = np.minimum.reduceat(g * mult[f], start)
+    return mix64(least.ravel()).reshape(least.shape)
+
+
+def paths_of(mixed: np.ndarray, trees: int) -> np.ndarray:
+    """(sets, trees): DEPTH labels of 16 bits in a tree's path, the first one highest."""
+    out = np.zeros((mixed.shape[1], trees), np.uint64)
+    for t in range(trees):
+        for d in range(DEPTH):
+            out[:, t] |= (mixed[(3 * t + d) % len(mixed)] & np.uint64(0xFFFF)) << np.uint64(16 * (DEPTH - 1 - d))
+    return out
+
+
+@lru_cache(16)
+def prefix_depth(threshold: float, trees: int, recall: float, pairs: int = 2000, size: int = 120) -> int:
+    """The matched prefix: from the whole path it is shortened label by label until pairs at the threshold share it in some tree with the recall.
+
+    The recall is measured at each length, on pairs of random sets that are exactly as similar as the threshold (the next
+    lower similarity that their size allows), through the same hash functions.
+    """
+    shared = int(2 * size * threshold / (1 + threshold))
+    g = np.random.default_rng(77).integers(0, 2**63, (pairs, 2 * size - shared), dtype=np.uint64)
+    both = np.stack([g[:, :size], g[:, size - shared :]], axis=1).reshape(-1)
+    paths = paths_of(minhashes(both, np.arange(0, len(both), size), multipliers(trees)), trees)
     for k in range(DEPTH, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        cut = paths >> np.uint64(64 - 16 * k)
+        if (cut[::2] == cut[1::2]).any(1).mean() >= recall:
             return k
     raise ValueError("more trees are needed for that recall")
 
 
 def signatures(docs: DataFrame, key: str, text: str, n: int, trees: int) -> DataFrame:
     """(doc, c1, c2, size, s1, s2, paths): classes of equal words, n-gram counts, 128-bit sketches and the tree paths."""
-    functions = 3 * trees
-    rng = np.random.default_rng(20240229)
-    mult = rng.integers(1, 2**63, functions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mult = multipliers(trees)
 
     def run(r: pa.RecordBatch, off: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
         g, at, c = shingles(off, data, n)
         size = np.diff(at)
         has = np.flatnonzero(size)
-        least = np.zeros((functions, len(has)), np.uint64)
-        if len(has):
-            for f in range(functions):
-                least[f] = np.minimum.reduceat(g * mult[f], at[has])
-        mixed = mix64(least.ravel()).reshape(least.shape)
+        mixed = minhashes(g, at[has], mult)
         bits = ((mixed >> np.uint64(20)) & np.uint64(1))[:128]
         sketch = np.zeros((2, len(size)), np.uint64)
         for f in range(len(bits)):
             sketch[f // 64, has] |= bits[f] << np.uint64(f % 64)
-        label = mixed & np.uint64(0xFFFF)
         paths = np.zeros((len(size), trees), np.uint64)
-        for t in range(trees):
-            for d in range(DEPTH):
-                paths[has, t] |= label[(3 * t + d) % functions] << np.uint64(16 * (DEPTH - 1 - d))
+        paths[has] = paths_of(mixed, trees)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * trees), pa.array(paths.view(np.int64).ravel()))
         return pa.RecordBatch.from_arrays([r.column(0), *[pa.array(x.view(np.int64)) for x in c], pa.array(size), *[pa.array(x.view(np.int64)) for x in sketch], lists], names=["doc", "c1", "c2", "size", "s1", "s2", "paths"])
 
@@ -97,27 +122,42 @@ def _sketch_floor(bits: int, threshold: float) -> int:
 
 
 def candidate_edges(classes: DataFrame, threshold: float, trees: int, recall: float, block: int) -> DataFrame:
-    """(src, dst): a spanning forest of the pairs that share a path's prefix in some tree and whose sketches agree."""
-    depth = depth_for(threshold, trees, recall)
+    """(src, dst): a spanning forest of the pairs that share a path's prefix in some tree and whose sketches agree.
+
+    Each tree is a sorted trie: its paths lie together by the prefix and are sorted by the labels below it. Pairs
+    that share the whole path are tried first; with the prefix shortened, only pairs that those haven't connected yet.
+    """
+    depth = prefix_depth(threshold, trees, recall)
     rows = classes.where("size > 0").select("node", "s1", "s2", F.posexplode("paths").alias("tree", "path"))
-    rows = rows.select(F.xxhash64("tree", F.shiftrightunsigned("path", 64 - 16 * depth)).alias("prefix"), "node", "s1", "s2", "path")
-    units = blocked_units(rows, ["prefix"], "node", block)
+    if depth < DEPTH:
+        prefix = F.col("tree").cast("long") * F.lit(1 << 48) + F.shiftrightunsigned("path", 64 - 16 * depth)
+        tail = F.col("path").bitwiseAND((1 << 64 - 16 * depth) - 1)
+    else:
+        prefix, tail = F.xxhash64("tree", "path"), F.lit(0).cast("long")
+    units = blocked_units(rows.select(prefix.alias("prefix"), tail.alias("tail"), "node", "s1", "s2"), ["prefix"], "node", block)
     bits = min(128, 3 * trees)
     floor = _sketch_floor(bits, threshold)
 
     def run(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch | None:
-        node = t.column("node").to_numpy()
+        node, tail = t.column("node").to_numpy(), t.column("tail").to_numpy()
         s1, s2 = t.column("s1").to_numpy().view(np.uint64), t.column("s2").to_numpy().view(np.uint64)
         side, one = t.column("side").to_numpy(), t.column("bi").to_numpy() == t.column("bj").to_numpy()
         a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-        for i, j in unit_pairs(unit, side, one):
-            differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-            ok = (differ <= bits - floor) & (node[i] != node[j])
-            if ok.any():
-                a, b = find_forest(np.concatenate([a, node[i[ok]]]), np.concatenate([b, node[j[ok]]]))
+        root = node.copy()
+        whole = np.cumsum(np.append(False, (tail[1:] != tail[:-1]) | (unit[1:] != unit[:-1])))
+        for group in (whole, unit):
+            for i, j in unit_pairs(group, side, one):
+                ok = root[i] != root[j]
+                i, j = i[ok], j[ok]
+                differ = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+                ok = differ <= bits - floor
+                if ok.any():
+                    a, b = find_forest(np.concatenate([a, node[i[ok]]]), np.concatenate([b, node[j[ok]]]))
+                    at = np.minimum(np.searchsorted(a, node), len(a) - 1)
+                    root = np.where(a[at] == node, b[at], node)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"]) if len(a) else None
 
-    return scan_units(units, ["prefix"], run, "src long, dst long")
+    return scan_units(units, ["prefix"], run, "src long, dst long", order=["tail"])
 
 
 def _jaccard(threshold: float):
@@ -163,7 +203,7 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     with, its copies too; class_id is the smallest key that links reach; kept is key = class_id.
 
     A signature's trees are sorted by paths of DEPTH labels; prefixes are shortened from the full path until pairs at the
-    threshold share one in some tree with the wanted recall (depth_for). Pairs under one prefix
+    threshold share one in some tree with the wanted recall, as measured (prefix_depth). Pairs under one prefix
     whose sketches agree join parts; within a part all pairs are verified on their whole n-gram
     sets, so a part's pairs are found even if no tree had them. Texts are shuffled once, and
     only those in parts go on; a group of any size is split in blocks.

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from marginalia.llm import ngrams
 
@@ -58,9 +59,26 @@ def test_hot_groups_in_blocks(spark):
         assert got == want
 
 
-def test_recall_at_the_threshold():
-    k = ngrams.depth_for(0.5, 36, 0.99)
-    assert k == 3 and 1 - (1 - 0.5**k) ** 36 >= 0.99 > 1 - (1 - 0.5**4) ** 36
+def test_prefixes_are_shortened_until_the_recall_is_measured():
+    k = ngrams.prefix_depth(0.5, 36, 0.99)
+    assert k == 3 and ngrams.prefix_depth(0.9, 36, 0.99) == 4 and ngrams.prefix_depth(0.5, 36, 0.9999) < 3
+    with pytest.raises(ValueError):
+        ngrams.prefix_depth(0.02, 4, 0.99)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    r = random.Random(5)
+    docs = []
+    for k in range(400):  # 60 words, and 20 others for 20 of them: 40 common 3-grams (41 less the one that is cut) of 80
+        w = [f"{k}x{r.randrange(10**9)}" for _ in range(62)]
+        v = w[:42] + [f"{k}y{r.randrange(10**9)}" for _ in range(20)]
+        docs += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert len(grams(docs[0][1]) & grams(docs[1][1])) * 2 == len(grams(docs[0][1]) | grams(docs[1][1]))
+    got = ngrams.ngram_join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sum(x.n_links for x in got) / 800 >= 0.97 and all(x.class_id // 2 == x.doc_id // 2 for x in got)
+
+
+def test_shingles():
     docs = [b"one two three four five", b"one", b"", b"five four"]
     off = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
     g, at, c = ngrams.shingles(off, np.frombuffer(b"".join(docs), np.uint8), 3)
