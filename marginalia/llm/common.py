@@ -16,7 +16,7 @@ from ..sources.staging import shared_dir
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[tuple, str]] = []  # (JVM, Hadoop configuration) that outlive a stopped session, path
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
@@ -28,10 +28,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marginalia-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written.append((_files(spark), path))
     return spark.read.parquet(path)
 
 
+def _files(spark: SparkSession) -> tuple:
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
 def path_of(df: DataFrame) -> str | None:
     """The path of a table that written() returned, while it is kept."""
     files = df.inputFiles()[:1]
@@ -39,9 +43,13 @@ def path_of(df: DataFrame) -> str | None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+    _delete(_files(spark), path)
+
+
+def _delete(files: tuple, path: str) -> None:
+    jvm, conf = files
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def forget(df: DataFrame | None) -> None:
@@ -53,11 +61,10 @@ def forget(df: DataFrame | None) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for files, path in _written:
         try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
+            _delete(files, path)
+        except Exception:  # noqa: BLE001  the JVM may have ended before
             pass
 
 
@@ -319,7 +326,9 @@ def links_within(rows: DataFrame, candidates: DataFrame, gram: Callable, block:
     forget(parts)
     comp = connected_components(found.where("n = 0").select("a", "b"))
     count = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
-    return written(count.join(comp, "node"), "linked")
+    out = written(count.join(comp, "node"), "linked")
+    forget(found)
+    return out
 
 
 def slices(off: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

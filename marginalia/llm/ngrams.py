@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, blocked_units, find_forest, links_within, mix64, scan_units, span_hash, stream, unit_pairs, written
+from .common import BASES, blocked_units, find_forest, forget, links_within, mix64, scan_units, span_hash, stream, unit_pairs, written
 from .licenses import LOWER, WORD
 
 DEPTH = 4  # labels of 16 bits in a tree's 64-bit path
@@ -230,6 +230,7 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("_text")).where("_text is not null").join(heads, "node")
     rows = stream(texts, ["node", "weight", "_text"], sets, "node long, weight long, grams array<long>")
     linked = links_within(rows, edges, _jaccard(threshold), block)
+    forget(edges)
     per_class = classes.select("c1", "c2", F.col("node").alias("head"), "weight").join(linked.withColumnRenamed("node", "head"), "head", "left")
     out = sig.select("doc", "c1", "c2", (F.col("size") > 0).alias("_real")).join(per_class, ["c1", "c2"], "left")
     ok = F.col("_real") & F.col("doc").isNotNull()
