@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stream
+from .common import forget, stream, written
 from .licenses import LOWER
 
 #: Columns of the presence matrix: 256 bytes, then 2-, 3- and 4-grams hashed into BUCKETS each.
@@ -78,26 +78,26 @@ def fit(x: np.ndarray, langs: list[str], landmarks: int, ridge: float, seed: int
     return Model(names, (mark.T.astype(np.float64) @ coef).astype(np.float32), bias.astype(np.float32))
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 200, max_rows: int = 2000, landmarks: int = 200, ridge: float = 0.5, max_langs: int = 200) -> Model | None:
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 200, max_rows: int = 2000, landmarks: int = 200, ridge: float = 0.5) -> Model | None:
     """A model from a bounded sample of the labelled rows of docs, or None where there are none.
 
-    The sample has at most per_lang rows of each of the max_langs most frequent languages, and some
-    max_rows in all: those with the
-    smallest hashes of their key, so that it doesn't depend on the order of rows. Executors
+    The sample has at most per_lang rows of each language, fewer where there are more than max_rows / per_lang languages, but
+    one of each at least: those with the smallest hashes of their key, so that it doesn't depend on the order of rows. Executors
     turn the whole texts into packed presence rows (6 kB each), which the driver gathers. Rows with
-    a null language, a null text or one without a letter are left out.
+    a null language, a null text or one without a letter are left out, also where languages are counted.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key), F.col(lang).alias("lang"), F.col(text).alias("_text"), F.xxhash64(F.lit(11), F.col(key)).alias("h"))
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    if not counts:
+    h = F.xxhash64(F.lit(11), F.col(key))
+    usable = docs.where(F.col(lang).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    counts = written(usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")), "langs")
+    languages = counts.count()
+    if not languages:
         return None
-    per_lang = max(1, min(per_lang, max_rows // len(counts)))
-    low = None
-    for r in counts:
-        share = min(1.0, 1.5 * per_lang / r.n + 20 / r.n)
-        rule = (F.col("lang") == r.lang) & (F.col("h") <= min(2**63 - 1, int(share * 2**64) - 2**63))
-        low = rule if low is None else low | rule
-    some = rows.where(low).where(F.col("_text").rlike(r"\p{L}"))
+    per_lang = max(1, min(per_lang, max_rows // languages))
+    # the smallest hashes of a language lie under a cut that leaves it half as many again and 20
+    cut = F.least(F.lit(1.0), (1.5 * per_lang + 20) / F.col("n")) * float(2**64) - float(2**63)
+    near = usable.select(F.col(lang).alias("lang"), h.alias("h"), F.col(text).alias("_text")).join(counts.select("lang", cut.alias("_cut")), "lang").where(F.col("h").cast("double") <= F.col("_cut"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("_text")))
+    some = near.withColumn("_r", first).where(F.col("_r") <= per_lang)
 
     def pack(r: pa.RecordBatch, off: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
         out = []
@@ -108,12 +108,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
         return pa.RecordBatch.from_arrays([r.column(0), r.column(1), pa.array(out, pa.binary())], names=["lang", "h", "bits"])
 
     packed = stream(some, ["lang", "h", "_text"], pack, "lang string, h long, bits binary")
-    got = sorted(packed.orderBy("h").limit(2 * per_lang * len(counts)).collect(), key=lambda r: (r.h, r.lang))
-    kept, seen = [], {}
-    for r in got:
-        seen[r.lang] = seen.get(r.lang, 0) + 1
-        if seen[r.lang] <= per_lang:
-            kept.append(r)
+    kept = sorted(packed.collect(), key=lambda r: (r.h, r.lang, bytes(r.bits)))
+    forget(counts)
     if not kept:
         return None
     x = np.stack([np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8))[:WIDTH] for r in kept])
@@ -146,9 +142,9 @@ def predict(docs: DataFrame, model: Model | None, *, key: str = "doc_id", text:
 
 
 def labelled(docs: DataFrame, model: Model | None, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with lang replaced by the prediction, in one pass over whole rows."""
+    """docs with lang replaced by the prediction, in one pass over whole rows; without a model only und (a null text, or one without a letter) is told, and the rest stays as it is."""
     if model is None:
-        return docs.withColumn(lang, F.lit("und"))
+        return docs.withColumn(lang, F.when(F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), F.col(lang)).otherwise("und"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rest = [c for c in docs.columns if c not in (text, lang)]

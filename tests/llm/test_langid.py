@@ -32,6 +32,8 @@ def test_odd(spark):
     assert len(got) == 12 and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (3, 4, 8)) and by[9].lang_pred in ("en", "de", "fr")
     assert langid.language_id(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    bare = langid.labelled(docs.withColumn("lang", F.lit(None).cast("string")), None)
+    assert {r.doc_id: r.lang for r in bare.collect()} == {i: "und" if i in (3, 4, 8) else None for i in by}
     whole = langid.labelled(docs, langid.train(docs))
     assert whole.columns == docs.columns and whole.count() == 12
 
@@ -44,3 +46,13 @@ def test_presence_ignores_repeats():
     rows = np.zeros((2, langid.WIDTH), np.uint8)
     langid.presence(off, np.frombuffer(b"".join(texts), np.uint8), rows)
     assert (rows[0] == rows[1]).all() and rows.max() == 1
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the and of {i} with english words", "en") for i in range(3000)] + [(5000 + i, f"кошка и собака {i} гуляют", "ru") for i in range(5)] + [(6000 + i, "123 456", "ru") for i in range(3000)]
+    rows += [(10_000 + k, chr(0x4E00 + k) * 12, f"l{k}") for k in range(230)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(d)
+    assert len(m.langs) == 232
+    got = {r.doc_id: r.lang_pred for r in langid.predict(d.where("doc_id >= 5000 and doc_id < 6000 or doc_id = 10100"), m).collect()}
+    assert got == {**{5000 + i: "ru" for i in range(5)}, 10_100: "l100"}
