@@ -175,7 +175,9 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ba
     rows = [*[(p, "base", v) for p, v in base.items()], *[(p, "notice", v) for p, v in notices.items()], *[(p, "tag", "") for p in TAGS]]
     by: dict[str, list] = {}
     for p, kind, v in rows:
-        by.setdefault(f" {' '.join(p.split())} ", []).append((kind, v))
+        if words := "".join(chr(c) if WORD[c] else " " for c in LOWER[np.frombuffer(p.encode(), np.uint8)].tolist()).split(" "):  # as the stream has them: bytes, lower-cased
+            by.setdefault(f" {' '.join(w for w in words if w)} ", []).append((kind, v))
+    by.pop("  ", None)  # a phrase without words
     needs_colon = {f" {p} ": c for p, c in TAGS.items()}
     automaton: list = []
 
@@ -245,7 +247,7 @@ def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", ba
                 if exprs[d] is None:
                     exprs[d], oks[d] = written_out(x), evaluate(x)
                 out += [(w, "tag", f) for f in known if f]
-            out = sorted(set(out)) if tags.get(d) else sorted(out)
+            out = sorted(set(out))
             lens[d] = len(out)
             for w, kind, label in out:
                 places.append(w)

@@ -68,3 +68,9 @@ def test_spdx_tags_keep_ids_of_no_family(spark):
     assert got[2] == ("psf-2.0", 0.95, "PSF-2.0", True)
     assert got[3] == got[4] == ("", 0.0, None, None)
     assert got[5] == ("eupl-1.2,wtfpl", 0.9975, "EUPL-1.2 OR WTFPL", True)
+
+
+def test_phrases_of_a_caller_are_taken_as_texts_are(spark):
+    d = spark.createDataFrame([(1, "Sous Licence Publique GÉNÉRALE ou licence publique générale."), (2, "The FOO Licence, or foo-licence")], "doc_id long, text string")
+    got = {r.doc_id: [h.label for h in r.hits] for r in L.license_scan(d, notices={"licence publique générale": "lpg", "Foo Licence": "foo", " .. ": "none"}).collect()}
+    assert got == {1: ["lpg"], 2: ["foo", "foo"]}
