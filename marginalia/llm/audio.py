@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import wave
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 FRAME_S, HOP_S = 0.25, 0.125
+LONG = 1 << 21
 LOW_HZ, HIGH_HZ = 65.0, 3520.0
 
 #: (kind, lowest pitch class, pitch classes, frames) of the sixteen filters; each gives two bits.
@@ -41,18 +43,36 @@ CUTS = (-0.55, 0.12, 0.7)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
-def decode_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
-    """(rate, mono samples from -1 to 1) of PCM audio of 8, 16 or 32 bits; None for anything else."""
+def pcm(data: bytes | None) -> tuple[int, int, Callable[[int, int], np.ndarray]] | None:
+    """(rate, samples, f) of PCM audio of 8, 16, 24 or 32 bits, None for anything else; f(lo, hi) gives mono samples from -1 to 1."""
     try:
         with wave.open(io.BytesIO(data or b"")) as w:
-            kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[w.getsampwidth()]
-            x = np.frombuffer(w.readframes(w.getnframes()), kind)
-            n = w.getnchannels()
-            x = x[: len(x) // n * n].reshape(-1, n).astype(np.float32)
-            x = (x - 128) / 128 if kind is np.uint8 else x / float(2 ** (8 * w.getsampwidth() - 1))
-            return w.getframerate(), x.mean(1)
+            width, channels, rate = w.getsampwidth(), w.getnchannels(), w.getframerate()
+            raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8)
     except (wave.Error, EOFError, KeyError, ValueError, struct.error):
         return None
+    if width not in (1, 2, 3, 4) or channels < 1:
+        return None
+    n = len(raw) // (width * channels)
+
+    def part(lo: int, hi: int) -> np.ndarray:
+        b = raw[lo * width * channels : min(hi, n) * width * channels]
+        if width == 1:
+            x = (b.astype(np.float32) - 128) / 128
+        elif width == 3:
+            b = b.reshape(-1, 3).astype(np.int32)
+            x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / float(2**23)
+        else:
+            x = b.view(np.dtype(f"<i{width}")).astype(np.float32) / float(2 ** (8 * width - 1))
+        return x.reshape(-1, channels).mean(1)
+
+    return rate, n, part
+
+
+def decode_wav(data: bytes | None) -> tuple[int, np.ndarray] | None:
+    """(rate, mono samples from -1 to 1) of PCM audio; None for anything else."""
+    got = pcm(data)
+    return got and (got[0], got[2](0, got[1]))
 
 
 def encode_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -81,6 +101,14 @@ def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     return np.where(norm > 1e-6, c / np.maximum(norm, 1e-12), 0.0)
 
 
+def chroma_of(part: Callable[[int, int], np.ndarray], n: int, rate: int, frames: int = 256) -> np.ndarray:
+    """chroma() of one recording of any length, some frames at a time."""
+    size, hop = max(8, int(FRAME_S * rate)), max(4, int(HOP_S * rate))
+    total = 0 if n < size else (n - size) // hop + 1
+    got = [chroma(part(k * hop, (min(k + frames, total) - 1) * hop + size)[None], rate) for k in range(0, total, frames)]
+    return np.concatenate(got, axis=1) if got else np.zeros((1, 0, 12))
+
+
 def packed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(integers, heard): a 32-bit integer for each window of SPAN frames, and whether the window has any sound."""
     r, n = c.shape[0], c.shape[1] - SPAN + 1
@@ -112,7 +140,8 @@ def packed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fingerprints(media: DataFrame, *, key: str, audio: str = "audio") -> DataFrame:
     """(key, prints): the packed integers of each recording, silence left out at both ends; empty for null, broken, silent or too short audio.
 
-    Recordings of one rate and length go through the transforms together. Every row has a result, whatever its key.
+    Recordings of one rate and length go through the transforms together; those of more than LONG samples one by one, some
+    frames at a time, so that a recording of any length takes little more than its own bytes. Every row has a result, whatever its key.
     """
 
     def run(batches):
@@ -122,8 +151,15 @@ def fingerprints(media: DataFrame, *, key: str, audio: str = "audio") -> DataFra
                 got: list = [np.empty(0, np.uint32)] * s.num_rows
                 by: dict = {}
                 for i, b in enumerate(s.column(1).to_pylist()):
-                    if (d := decode_wav(b)) and len(d[1]) and d[0] >= 200:
-                        by.setdefault((d[0], len(d[1])), []).append((i, d[1]))
+                    if not (d := pcm(b)) or not d[1] or d[0] < 200:
+                        continue
+                    if d[1] <= LONG:
+                        by.setdefault(d[:2], []).append((i, d[2](0, d[1])))
+                        continue
+                    out, heard = packed(chroma_of(d[2], d[1], d[0]))
+                    if heard.any():
+                        at = np.flatnonzero(heard[0])
+                        got[i] = out[0][at[0] : at[-1] + 1]
                 for (rate, size), rows in by.items():
                     step = max(1, 4_000_000 // size)
                     for k in range(0, len(rows), step):

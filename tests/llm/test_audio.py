@@ -96,3 +96,25 @@ def test_all_matches_are_returned(spark):
         assert got == want and sum(len(m.ids) for m in r.matches) == r.n_matches == len(want)
         assert [m.ber for m in r.matches] == sorted(m.ber for m in r.matches) and all(m.recording == min([*m.ids, r.id] if m.recording == r.recording else m.ids) for m in r.matches)
         assert r.best_id in r.matches[0].ids if r.matches else r.best_id is None
+
+
+def test_long_recordings_and_24_bits(spark):
+    import io
+    import wave
+
+    r, rate = np.random.default_rng(1), 4000
+    x = np.concatenate([np.sin(2 * np.pi * f * np.arange(2000) / rate) for f in 220 * 2 ** (r.integers(0, 24, 120) / 12)]) * 0.5
+    b = A.encode_wav(x, rate)
+    rt, n, part = A.pcm(b)
+    assert (rt, n) == (rate, len(x)) and np.abs(A.chroma_of(part, n, rt, frames=7) - A.chroma(part(0, n)[None], rate)).max() < 1e-4
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(3)
+        w.setframerate(rate)
+        v = np.repeat((x * 8388607).astype("<i4"), 2)
+        w.writeframes(v.view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
+    assert np.abs(A.decode_wav(out.getvalue())[1] - x).max() < 1e-6
+    d = spark.createDataFrame([(1, bytearray(b)), (2, bytearray(out.getvalue()))], "id long, audio binary")
+    one, two = (r.prints for r in A.fingerprints(d, key="id").orderBy("id").collect())
+    assert len(one) > 200 and np.mean(np.array(one) == np.array(two)) > 0.9
