@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 MAX_SOURCES = 1_000
 
@@ -109,10 +109,11 @@ def _pieces(blocks: Mapping[str, int], plan: list) -> pa.Table:
     return pa.table({"_s": pa.array([s for s, *_ in cut], pa.string()), "_c": pa.array([c for _, c, _ in cut], pa.int64()), "places": places})
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int = 32, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int | None = None, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
     """docs with block, slot and position: an order in which each prefix has its sources' target weights, every row once.
 
-    Rows of a source come in the order of a keyed hash of their key, cut in blocks of `block` rows.
+    Rows of a source come in the order of a keyed hash of their key, cut in blocks of `block` rows (by default
+    32, or a millionth of all rows where that is more, so that the schedule has about a million blocks at most).
     Blocks are scheduled by phases(); position numbers all rows, 0 first, in order of slots. Without
     weights a source of n rows weighs n ** power; a source that the weights leave out weighs
     what the least one does. As long as no source has run out, every prefix has less than one
@@ -121,7 +122,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     in_order: partitions follow one another by position, each with as many rows and sorted, without a sampling pass.
 
     A null source is a source of its own. Rows that repeat a key, or have none, are ordered by a hash of
-    all their columns, and equal rows in any order. Empty tables give no rows; columns of docs that have these `names` are
+    all their columns, and equal rows in any order; where so many share a key that a bucket is crowded, rows are written once with a number
+    each, by which they are spread. Empty tables give no rows; columns of docs that have these `names` are
     replaced. No task holds a source: a row's rank is its rank in one of its source's hash buckets of about bucket_rows rows, plus the rows
     in the buckets before; sources without rows are fine. At most MAX_SOURCES sources (config-sized) are accepted, since the schedule is made on the driver, which holds 8 bytes for each block.
     """
@@ -141,14 +143,25 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     else:
         known = {"" if s is None else f"={s}": w for s, w in weights.items()}
         given = {s: known.get(s, min(known.values(), default=1.0)) for s in count}
+    block = block or max(32, -(-sum(count.values()) // (1 << 20)))
     blocks = {s: -(-n // block) for s, n in count.items()}
     plan = phases(blocks, given, slots)
     spark = docs.sparkSession
     bits = max(0, (max(count.values(), default=1) // bucket_rows).bit_length())
     bucket = F.shiftrightunsigned(F.col("_h"), 64 - bits).cast("long") if bits else F.lit(0).cast("long")
     # rows before each bucket of each source
-    sizes = light.withColumn("_b", bucket).groupBy("_s", "_b").agg(F.count("*").alias("n"))
-    before = written(sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n"), "buckets")
+    earlier = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def buckets(light: DataFrame) -> DataFrame:
+        sizes = light.withColumn("_b", bucket).groupBy("_s", "_b").agg(F.count("*").alias("n"))
+        return written(sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "buckets")
+
+    before = buckets(light)
+    if bits and (before.agg(F.max("n")).first()[0] or 0) > 8 * bucket_rows:  # hashes of distinct keys don't crowd so
+        rows = written(rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_g"), F.monotonically_increasing_id())), "rows")
+        forget(before)
+        before = buckets(rows.select("_s", "_h"))
+    before = before.drop("n")
     rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", key, "_g")) - 1
     ranked = rows.withColumn("_b", bucket).withColumn("_r", rank).join(before, ["_s", "_b"]).withColumn("_r", F.col("_r") + F.col("before"))
     ranked = ranked.withColumn("block", F.floor(F.col("_r") / block).cast("long"))

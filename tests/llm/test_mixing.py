@@ -82,3 +82,11 @@ def test_a_small_source_keeps_its_weight():
     blocks = {"big": 20_000, "small": 1000}
     got = placed([r for r in mixing.phases(blocks, {"big": 0.9992, "small": 0.0008}) if r[0] == 0])
     assert abs(sum(s == "small" for _, s, _ in got) - 0.0008 * len(got)) < 1
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = [(None, "a")] * 3000 + [(7, "a")] * 500 + [(i, "b") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix_sources(d, block=4, bucket_rows=50)
+    assert sorted(r.position for r in got.collect()) == list(range(3800)) and got.groupBy("doc_id").count().where("doc_id is null").first()["count"] == 3000
+
