@@ -104,20 +104,22 @@ _POOL = {name.lower(): pool for pool, names in GIVEN.items() for name in names}
 
 
 def name_part(word: str, key: bytes) -> str:
-    """A surrogate for one word of a name: a listed given name becomes another of its script and gender, any other word one of its shape with the same last letter."""
+    """A surrogate for one word of a name: a listed given name becomes another of its script and gender, any other word one of its shape with the same last letter. Case is kept, and makes no other word."""
     low = word.lower()
+    if len(low) != len(word):  # a letter whose lower case is two
+        low = word
     if pool := _POOL.get(low):
         names = GIVEN[pool]
         i = [n.lower() for n in names].index(low)
         # a keyed cyclic order of the pool: each name is followed by another
         order = sorted(range(len(names)), key=lambda j: hashlib.blake2b(names[j].encode(), key=key[:64], digest_size=8).digest())
         new = names[order[(order.index(i) + 1) % len(names)]]
-        return new.upper() if word.isupper() and len(word) > 1 else new
-    body, last = word[:-1], word[-1:]
+        return new.upper() if word.isupper() and len(word) > 1 else new.lower() if word.islower() else new
+    body, last = low[:-1], low[-1:]
     new = reshaped(body, key, "name") + last
-    while new.lower() in _POOL:  # listed names are taken: walk on, as a bijection may
+    while new in _POOL:  # listed names are taken: walk on, as a bijection may
         new = reshaped(new[:-1], key, "name") + last
-    return new
+    return "".join(c.upper() if w != w.lower() else c for c, w in zip(new, word, strict=True))
 
 
 def luhn(digits: str) -> bool:
@@ -150,7 +152,7 @@ _TWO = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55
 
 def _phone(text: str, key: bytes) -> str:
     d = re.sub(r"\D", "", text)
-    keep = (1 if d[0] in "17" else 2 if d[:2] in _TWO else 3) if text.startswith("+") else 0  # by digits alone, however they are grouped
+    keep = (1 if d[0] in "17" else 2 if d[:2] in _TWO else 3) if text.startswith("+") else int(d[0] == "0")  # by digits alone, however they are grouped
     return _refill(text, reshaped(d, key, "phone", min(keep, max(0, len(d) - 6))))
 
 
@@ -192,7 +194,7 @@ def plain(kind: str, text: str) -> str:
     """text without the separators and case that don't tell entities of the kind apart."""
     if kind in ("phone", "card", "iban"):
         return re.sub(r"[^\w+]|_", "", text)
-    return text.lower() if kind == "email" else text
+    return re.sub(r"\s+", " ", text.lower()) if kind in ("email", "name") else text
 
 
 @lru_cache(100_000)
@@ -205,15 +207,18 @@ def _made(kind: str, text: str, key: bytes) -> str:
 
 # --- detection -------------------------------------------------------------------------------
 
+#: Issuers' prefixes and lengths of card numbers.
+_ISSUER = re.compile(r"(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:2[2-9]|[3-6]\d|7[01])\d{13}|2720\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35\d{14}|6(?:011|4[4-9]\d|5\d\d)\d{12,15}|(?:5[06-9]|6\d)\d{14,17})$")
+
 _AT = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[\w-]{1,63}\.)+[^\W\d_]{2,24}(?![\w-])")
 _NUMERIC = re.compile(
     r"(?<![\w.])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
     r"|(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)"
-    r"|(?P<ip6>(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4})"
+    r"|(?P<ip6>(?i:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?=[0-9a-f:]{0,40}\d)[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5}::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
     r"|(?P<card>[3-6]\d{3}(?:[ -]?\d{4}){3}|3\d{3}[ -]?\d{6}[ -]?\d{5}|\d{13,19})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
+    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{6,8}|0\d{1,4}(?:[ -]\d{2,4}){3,4})"
     r")(?!\w)"
 )
 _SECRET = re.compile(
@@ -224,6 +229,9 @@ _TITLE = re.compile(
     r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία)\b\.? "
     r"(?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]{1,30}(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]{1,30}){0,2})"
 )
+_INTRO = re.compile(r"(?i:\b(?:my name is|mein name ist|ich heiße|je m'appelle|me llamo|меня зовут|με λένε)) (?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]{1,30}(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]{1,30}){0,2})")
+_INTROS = ("name", "heiße", "appelle", "llamo", "зовут", "λένε")
+_ARTICLES = ("the ", "The ", "a ", "A ", "an ", "An ")
 _TITLES = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Господин", "Госпожа", "Κύρι", "Κυρί")
 _KEYWORDS = ("passw", "pwd", "passphrase", "secret", "token", "key", "auth")
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_", "sk-", "xox", "eyJ")
@@ -237,7 +245,10 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if any(k in low for k in _KEYWORDS) or any(k in text for k in _PREFIXES):
         for m in _SECRET.finditer(text):
             g = "a" if m["a"] else "b"
-            found.append((0, m.start(g), m.end(g), "secret"))
+            value = m[g].rstrip(".!?)") if g == "a" else m[g]
+            if len(value) < 6 or (g == "a" and value.isalpha() and ":" in text[m.start() : m.start("a")] and not m[0].lower().startswith(("pass", "pwd"))):
+                continue  # prose after a colon
+            found.append((0, m.start(g), m.start(g) + len(value), "secret"))
     if "@" in text:
         found += [(1, m.start(), m.end(), "email") for m in _AT.finditer(text)]
     if _DIGIT.search(text):
@@ -245,19 +256,21 @@ def entities(text: str) -> list[tuple[int, int, str]]:
             kind = m.lastgroup
             if kind == "card":
                 d = re.sub(r"\D", "", m[0])
-                if not luhn(d) and not (len(d) == 16 and d[0] in "3456"):
+                if not luhn(d) or not _ISSUER.match(d):
                     continue
             if kind == "iban":
                 bare = m[0].replace(" ", "")
                 if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
                     continue
             found.append((2, m.start(), m.end(), {"ip6": "ip"}.get(kind, kind)))
-    if any(t in text for t in _TITLES):
-        names = {m["n"] for m in _TITLE.finditer(text)}
-        if names:  # later mentions without the title: the whole name, or its last word
-            parts = names | {re.split("[ -]", n)[-1] for n in names}
-            again = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, parts), key=lambda x: (-len(x), x))) + r")\b")
-            found += [(3, m.start(), m.end(), "name") for m in again.finditer(text)]
+    names = {m["n"] for m in _TITLE.finditer(text)} if any(t in text for t in _TITLES) else set()
+    if any(t in low for t in _INTROS):
+        names |= {m["n"] for m in _INTRO.finditer(text)}
+    if names:  # later mentions without the title: the whole name or one of its words, also all in capitals
+        parts = names | {w for n in names for w in re.split("[ -]", n) if len(w) > 2}
+        parts |= {p.upper() for p in parts}
+        again = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, parts), key=lambda x: (-len(x), x))) + r")\b")
+        found += [(3, m.start(), m.end(), "name") for m in again.finditer(text) if not text[max(0, m.start() - 4) : m.start()].endswith(_ARTICLES)]
     out: list[tuple[int, int, str]] = []
     if found:
         taken: list[tuple[int, int]] = []

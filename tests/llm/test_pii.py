@@ -45,7 +45,7 @@ def test_any_text(s):
 
 
 def test_clean_texts_stay(spark):
-    clean = ["The year 2024 had 12 months.", "Section 3.14.1 of part 7", "key facts: token economy", "Prices: 1,234,567.89", "a@b", "1.2.3", ""]
+    clean = ["The year 2024 had 12 months.", "Section 3.14.1 of part 7", "key facts: token economy", "Prices: 1,234,567.89", "a@b", "1.2.3", "", "the secret: patience. Token: something", "order 6625883203433324, 9233123412341234 and 0810992847249404", "std::vector a::b at 12:30:10", "the Young tree", "Mark the date 12-05-2024, pages 100-200"]
     d = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
     assert all(r.text == clean[r.doc_id] and r.n_entities == 0 for r in pii.pii_digest(d, KEY).collect())
 
@@ -85,10 +85,42 @@ def test_the_query_settles_collisions(spark, monkeypatch):
 
     def shared(docs, secret, text, again=None):
         seen.append(dict(again or {}))
-        hit = [] if again else [("name", "Zed", ["Alpha", "Bravo"])]
+        hit = [] if again else [("name", "zed", ["alpha", "bravo"])]
         return spark.createDataFrame(hit, "kind string, surrogate string, entities array<string>") if not again else real(docs, secret, text, again)
 
     monkeypatch.setattr(pii, "_shared", shared)
     got = {r.doc_id: r.text for r in pii.pii_digest(d, KEY).collect()}
-    assert len(seen) == 2 and seen[1] == {("name", "Bravo"): 1} and got[0] != got[1]
+    assert len(seen) == 2 and seen[1] == {("name", "bravo"): 1} and got[0] != got[1]
     assert pii.surrogate("name", "Bravo", KEY, 1) in got[1]
+
+
+def test_one_surrogate_for_all_writings_of_an_entity():
+    for a, b in (("Smith", "SMITH"), ("McDonald", "mcdonald"), ("Élodie", "ÉLODIE")):
+        assert pii.surrogate("name", a, KEY).lower() == pii.surrogate("name", b, KEY).lower() and pii.plain("name", a) == pii.plain("name", b)
+    assert pii.surrogate("name", "SMITH", KEY).isupper() and pii.surrogate("name", "Smith", KEY).istitle()
+    text = "My name is John Smith. SMITH came; Dr. Alice Brown saw Alice. Mr. Young left the Young tree to Young. Call 030 1234567 or 0171-2345678, see 2001:db8::1."
+    found = [(k, text[a:b]) for a, b, k in pii.entities(text)]
+    assert found == [("name", "John Smith"), ("name", "SMITH"), ("name", "Alice Brown"), ("name", "Alice"), ("name", "Young"), ("name", "Young"), ("phone", "030 1234567"), ("phone", "0171-2345678"), ("ip", "2001:db8::1")]
+    assert pii.surrogate("name", "Alice Brown", KEY).split()[0] == pii.surrogate("name", "Alice", KEY)
+
+
+def test_names_of_every_short_shape_keep_apart_under_any_key():
+    for k in range(20):
+        key = bytes([k]) * 9
+        for names in ([c + "a" for c in "BCDFGHJKLMNPQRSTVWXYZ"], [c + v + "n" for c in "BCDFGHJKLMNPQRSTVWXYZ" for v in "aeiou"]):
+            names = [n for n in names if n.lower() not in pii._POOL]
+            got = [pii.surrogate("name", n, key) for n in names]
+            assert len({g.lower() for g in got}) == len(names) and not any(a == b for a, b in zip(names, got, strict=True))
+
+
+def test_the_digest_against_brute_force(spark):
+    rows = [(1, TEXT), (2, None), (3, "Mr. John Smith, 10.1.2.3"), (4, "nothing here"), (5, TEXT.upper())]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        found = pii.entities(t or "")
+        out, at = "", 0
+        for a, b, k in found:
+            out, at = out + t[at:a] + pii.surrogate(k, t[a:b], KEY), b
+        want[i] = (len(found), ",".join(sorted({k for _, _, k in found})), None if t is None else out + t[at:])
+    assert {r.doc_id: (r.n_entities, r.kinds, r.text) for r in pii.pii_digest(d, KEY).collect()} == want
