@@ -20,7 +20,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_filter(_table(spark, sf_dir, "pages"), RULES)
+    """Edges are those in the pages and the redirects of url variants (www., m., http, fragments, tracking parameters) to one form."""
+    pages = _table(spark, sf_dir, "pages")
+    return urls.url_filter(pages, RULES, edges=urls.variant_edges(pages))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,15 @@ hrefs AS (
     lower(regexp_extract(src, '://([^/?#]*)', 1)) AS shost,
     regexp_extract(src, '://[^/?#]*([^?#]*)', 1) AS spath
   FROM tags WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?\\s*canonical|\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh')),
+rests AS (
+  SELECT url, substr(url, strpos(url, '://') + 3) AS rest FROM pages WHERE strpos(url, '://') > 0),
+variants AS (
+  SELECT url, rest, regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '(^|&)(utm_[^&=]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS query FROM rests),
 links AS (
+  SELECT url AS src, 'https://' || regexp_replace(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(www|m)\\.', '')
+    || coalesce(nullif(regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*'), ''), '/') || CASE WHEN query = '' THEN '' ELSE '?' || query END AS dst
+  FROM variants
+  UNION ALL
   SELECT src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
       WHEN strpos(src, '://') = 0 THEN NULL
       WHEN href LIKE '//%' THEN scheme || ':' || href

@@ -107,6 +107,24 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return rows.select("src", resolved(F.col("src"), found).alias("dst")).where("src is not null and dst is not null")
 
 
+#: Query parameters that name a visit and not a page.
+TRACKING = r"(^|&)(utm_[^&=]*|ref|fbclid|gclid)=[^&]*"
+
+
+def canonical_of(url: Column) -> Column:
+    """The url that sites redirect variants of it to: https, no www. or m. before the host, no fragment and no tracking parameters; null without ://."""
+    query = F.regexp_extract(F.regexp_replace(rest_of(url), "^[^/?#]*", ""), r"^[^?#]*\?([^#]*)", 1)
+    query = F.regexp_replace(F.regexp_replace(query, TRACKING, ""), "^&", "")
+    path = F.when(path_of_url(url) == "", "/").otherwise(path_of_url(url))
+    whole = F.concat(F.lit("https://"), F.regexp_replace(host_of(url), r"^(www|m)\.", ""), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(F.instr(url, "://") > 0, whole)
+
+
+def variant_edges(pages: DataFrame, url: str = "url") -> DataFrame:
+    """(src, dst): the redirect of each url that isn't its own canonical form, an edge table for url_filter."""
+    return pages.select(F.col(url).alias("src"), canonical_of(F.col(url)).alias("dst")).where("dst is not null").where(node_of(F.col("src")) != F.col("dst"))
+
+
 def url_filter(pages: DataFrame, rules: Sequence[Rule] | DataFrame, *, edges: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """(key, host, path, rule, verdict, reason): one row for each row of pages.
 

@@ -1,5 +1,9 @@
+import random
+
 from marginalia.llm import urls
 
+from .helpers import components
+
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -38,5 +42,36 @@ def test_aliases_take_over_verdicts_and_allow_wins(spark):
     assert run(spark, rows, edges=edges)[6].verdict == "block"
 
 
+def test_variants_of_a_url_are_aliases(spark):
+    rows = [page(1, "http://www.Shop.test/a?utm_source=x&id=1#top"), page(2, "https://shop.test/a?id=1&ref=y"), page(3, "https://m.shop.test/a?id=1", '<link rel=canonical href="http://bad.net/x">'), page(4, "https://shop.test/b"), page(5, None), page(6, "x"), page(7, "http://shop.test")]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, host int")
+    edges = urls.variant_edges(p)
+    assert {(r.src, r.dst) for r in edges.collect()} == {(rows[0][1], "https://shop.test/a?id=1"), (rows[1][1], "https://shop.test/a?id=1"), (rows[2][1], "https://shop.test/a?id=1"), (rows[6][1], "https://shop.test/")}
+    got = run(spark, rows, edges=edges)
+    assert {i: (r.verdict, r.reason) for i, r in got.items()} == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "alias"), 4: ("allow", "default"), 5: ("allow", "default"), 6: ("allow", "default"), 7: ("allow", "default")}
+
+
+def test_a_larger_graph_and_a_very_long_page_against_brute_force(spark):
+    r = random.Random(3)
+    hosts = ["a.test", "b.org", "bad.net", "c.example.net", "d.example.com"]
+    url = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr'])}/{i}" for i in range(400)]
+    links = [(i, r.randrange(400)) for i in range(400) if r.random() < 0.5]
+    to = dict(links)
+    long = "<p>" + "word " * 400_000
+    rows = [page(i, u, (long if i == 7 else "") + (f'<link rel="canonical" href="{url[to[i]]}">' if i in to else "")) for i, u in enumerate(url)]
+    comp = components(range(400), links)
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(x), v) for v, x in RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and ("/" + path).startswith("/" + x.split("/", 1)[1])]
+        return max(fits)[1] if fits else None
+
+    got = run(spark, rows)
+    for i, u in enumerate(url):
+        mates = {own(url[j]) for j in range(400) if comp[j] == comp[i] and (i in to or any(i == d for _, d in links))}
+        want = own(u) or ("allow" if "allow" in mates else "block" if "block" in mates else "allow")
+        assert got[i].verdict == want
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
