@@ -50,6 +50,29 @@ def fleiss_kappa(ann: DataFrame, *, unit: str = "unit_id", label: str = "label_i
     return mean.join(sums, label).select(label, "n_units", F.when(pe >= 1, 1.0).otherwise(F.try_divide(F.col("p") - pe, 1 - pe)).alias("kappa"))
 
 
+def fleiss_kappa_of_all(ann: DataFrame, *, unit: str = "unit_id", label: str = "label_id", value: str = "label_value") -> DataFrame:
+    """(label, n_units, kappa) with every unit of ann counted: one with fewer than two ratings agrees in nothing."""
+    cells = ann.where(F.col(value).isNotNull()).groupBy(label, unit, value).agg(F.count("*").alias("c"))
+    per = cells.groupBy(label, unit).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("agree"))
+    p = F.sum(F.when(F.col("n") >= 2, F.col("agree") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0))
+    every = ann.groupBy(label).agg(F.count_distinct(unit).alias("n_units"))
+    sums = cells.groupBy(label, value).agg(F.sum("c").alias("c")).groupBy(label).agg(F.sum("c").alias("all"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"))
+    pe = F.col("sq") / (F.col("all").cast("double") * F.col("all"))
+    mean = every.join(per.groupBy(label).agg(p.alias("p")), label)
+    return mean.join(sums, label).select(label, "n_units", F.when(pe >= 1, 1.0).otherwise(F.try_divide(F.col("p") / F.col("n_units") - pe, 1 - pe)).alias("kappa"))
+
+
+def iaa(ann: DataFrame, *, unit: str = "unit_id", label: str = "label_id", reviewer: str = "reviewer_id", value: str = "label_value") -> DataFrame:
+    """(label, n_reviewers, statistic, kappa, agreement): Cohen's kappa on the units that both rated where a label has two reviewers, Fleiss' where it has more or one, and the percent agreement."""
+    names = {"unit": unit, "label": label, "value": value}
+    who = ann.where(F.col(value).isNotNull()).groupBy(label).agg(F.count_distinct(reviewer).alias("n_reviewers"))
+    cohen = cohens_kappa(ann, reviewer=reviewer, **names).groupBy(label).agg(F.first("kappa").alias("_c"))  # one pair where it is used
+    out = who.join(cohen, label, "left").join(fleiss_kappa(ann, **names).select(label, F.col("kappa").alias("_f")), label, "left")
+    out = out.join(percent_agreement(ann, **names).select(label, "agreement"), label, "left")
+    two = F.col("n_reviewers") == 2
+    return out.select(label, "n_reviewers", F.when(two, "cohen").otherwise("fleiss").alias("statistic"), F.when(two, F.col("_c")).otherwise(F.col("_f")).alias("kappa"), "agreement")
+
+
 def discordant_units(ann: DataFrame, *, unit: str = "unit_id", label: str = "label_id", value: str = "label_value") -> DataFrame:
     """(label, unit, n_ratings, n_values): units that at least two reviewers rated, and not alike."""
     per = ann.where(F.col(value).isNotNull()).groupBy(label, unit).agg(F.count("*").alias("n_ratings"), F.count_distinct(value).alias("n_values"))

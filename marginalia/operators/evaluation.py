@@ -67,7 +67,7 @@ def multiselect_items(pairs: DataFrame) -> DataFrame:
 
 def date_metrics(pairs: DataFrame) -> DataFrame:
     """By label, over pairs that are both dates: n, exact, within_3d, within_7d, within_30d, mae_days, p90_days."""
-    err = F.abs(F.datediff(dates.parse_date(F.col("prediction_value")), dates.parse_date(F.col("gold_value"))))
+    err = F.abs(F.datediff(dates.parse_model_date(F.col("prediction_value")), dates.parse_model_date(F.col("gold_value"))))
     e = pairs.withColumn("e", err).where("e is not null")
     share = lambda d: F.avg((F.col("e") <= d).cast("double"))
     return e.groupBy("label_id").agg(F.count("*").alias("n"), share(0).alias("exact"), share(3).alias("within_3d"), share(7).alias("within_7d"), share(30).alias("within_30d"), F.avg("e").alias("mae_days"), F.percentile("e", 0.9).alias("p90_days"))
@@ -106,3 +106,16 @@ def family_metrics(pairs: DataFrame, parent: str, children: list[str]) -> DataFr
 def pivot_wide(pred: DataFrame, labels: list[str]) -> DataFrame:
     """One row per unit, one column per label: its first prediction by value."""
     return pred.groupBy("unit_id").pivot("label_id", labels).agg(F.min("prediction_value"))
+
+
+def value_types(pairs: DataFrame) -> DataFrame:
+    """(label_id, label_type) of (gold_value, prediction_value) pairs by their values: a list or one of ; , makes it categorical_multi; else dates where there are some, and no fewer than numbers; else numeric where there are numbers."""
+    both = pairs.select("label_id", F.explode(F.array(F.col("gold_value").cast("string"), F.col("prediction_value").cast("string"))).alias("v"))
+    per = both.groupBy("label_id").agg(F.coalesce(F.max(F.col("v").rlike("[;,]")), F.lit(False)).alias("multi"), F.count(dates.parse_model_date(F.col("v"))).alias("days"), F.count(dates.parse_number(F.col("v"))).alias("numbers"))
+    kind = F.when(F.col("multi"), "categorical_multi").when((F.col("days") > 0) & (F.col("days") >= F.col("numbers")), "date").when(F.col("numbers") > 0, "numeric").otherwise("categorical")
+    return per.select("label_id", kind.alias("label_type"))
+
+
+def scoped(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """rows of the units that an experiment is evaluated on."""
+    return rows.join(units.select("unit_id").distinct(), "unit_id", "left_semi")

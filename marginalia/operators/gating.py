@@ -79,6 +79,48 @@ def topological(parents: dict[str, list[str]]) -> list[str]:
     return out
 
 
+def label_graph(labels: dict[str, dict]) -> tuple[dict[str, list[str]], dict[str, list[str]], list[str]]:
+    """(children by parent, parents by child, roots) of label configurations, by the labels that their gating_expr names; names that are no label of the set are left out."""
+    names = {str(v.get("name") or k).lower(): k for k, v in labels.items()} | {k.lower(): k for k in labels}
+    parents = {}
+    for k, v in labels.items():
+        _, rules = parse_gate(v.get("gating_expr") or "")
+        parents[k] = sorted({names[r["field"].lower()] for r in rules if r["field"].lower() in names} - {k})
+    children: dict[str, list[str]] = {}
+    for k in sorted(parents):
+        for p in parents[k]:
+            children.setdefault(p, []).append(k)
+    return children, {k: v for k, v in parents.items() if v}, sorted(k for k, v in parents.items() if not v)
+
+
+def ancestors(parents: dict[str, list[str]], label: str) -> list[str]:
+    """All labels that a label depends on, nearest first; a cycle ends where it closes."""
+    out, front = [], list(parents.get(label, ()))
+    while front:
+        p = front.pop(0)
+        if p != label and p not in out:
+            out.append(p)
+            front += parents.get(p, ())
+    return out
+
+
+def dependency_tree(children: dict[str, list[str]], roots: list[str]) -> list[dict]:
+    """Nested {label, children} from the roots down; a label that is above itself is marked and not followed."""
+
+    def below(k: str, above: tuple[str, ...]) -> dict:
+        if k in above:
+            return {"label": k, "cycle": True, "children": []}
+        return {"label": k, "children": [below(c, (*above, k)) for c in children.get(k, ())]}
+
+    return [below(r, ()) for r in roots]
+
+
+def prompt_order(labels: dict[str, dict]) -> list[str]:
+    """Labels for a prompt: roots, then the others, each sorted."""
+    _, _, roots = label_graph(labels)
+    return roots + sorted(set(labels) - set(roots))
+
+
 def eligibility(values: DataFrame, gates: dict[str, tuple[str, list[dict]]], kinds: dict[str, str], *, label: str = "label_id", value: str = "prediction_value", require_parent: bool = False) -> DataFrame:
     """(unit_id, child, eligible) for each unit and gated label; rules name their parent label as field."""
     need = sorted({r["field"] for _, rules in gates.values() for r in rules})

@@ -85,3 +85,9 @@ def corpus_fingerprint(docs: DataFrame, *, doc: str = "doc_id", content: str = "
     per = docs.groupBy(F.pmod(F.xxhash64(doc), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.sum(part(1)).alias("x"), F.sum(part(13)).alias("y"))
     every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "n", "x", "y"))), lambda r: F.concat_ws(":", r.b, r.n, r.x, r.y)), "|")
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(every, 256).alias("fingerprint"))
+
+
+def completion_times(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, completed_at) of all rows of old after changes (key, complete, at): completed rows take their new time, ones that were opened again keep the old one. One change for each key."""
+    both = old.join(new, list(key), "left")
+    return both.select(*key, F.when(F.coalesce("complete", F.lit(False)), F.col("at")).otherwise(F.col("completed_at")).alias("completed_at"))

@@ -62,3 +62,50 @@ def sweep(frames: dict[str, DataFrame]) -> DataFrame:
         one = d.select(F.lit(name).alias("run"), *d.columns)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
+
+
+def batch_manifest(jobs: DataFrame, outputs: DataFrame, *, key: str = "batch_id", unit: str = "unit_id") -> DataFrame:
+    """(batch_id, n_units, n_done, status): completed where every unit of a batch has an output, partial where some have, else pending. Batches that come later join the same way."""
+    out = jobs.join(outputs.select(key, unit).distinct().withColumn("_d", F.lit(1)), [key, unit], "left").groupBy(key).agg(F.count("*").alias("n_units"), F.count("_d").alias("n_done"))
+    return out.withColumn("status", F.when(F.col("n_done") == F.col("n_units"), "completed").when(F.col("n_done") > 0, "partial").otherwise("pending"))
+
+
+def prompt_counts(prompts: DataFrame, by: str, done) -> DataFrame:
+    """(by, n_total, n_completed)."""
+    return prompts.groupBy(by).agg(F.count("*").alias("n_total"), F.sum(F.when(done, 1).otherwise(0)).alias("n_completed"))
+
+
+def limited(rows: DataFrame, work: Callable, schema: str, *, per_minute: float, workers: int = 1) -> DataFrame:
+    """work(pandas frame) -> pandas frame over rows by `workers` tasks, which together begin at most per_minute calls a minute: calls of a task are spaced evenly. A call is one batch of at most spark.sql.execution.arrow.maxRecordsPerBatch rows."""
+    gap = 60.0 * workers / per_minute
+
+    def run(batches):
+        import time
+
+        free = 0.0
+        for p in batches:
+            now = time.monotonic()
+            if now < free:
+                time.sleep(free - now)
+            free = max(now, free) + gap
+            yield work(p)
+
+    return rows.coalesce(workers).mapInPandas(run, schema)
+
+
+class Cancellable:
+    """Spark jobs under a tag of their own: `with Cancellable(spark, "run 3") as c: ...`, and c.cancel() from any thread ends those that run."""
+
+    def __init__(self, spark, tag: str):
+        self.spark, self.tag, self.cancelled = spark, "".join(c if c.isalnum() else "_" for c in tag), False
+
+    def __enter__(self):
+        self.spark.addTag(self.tag)
+        return self
+
+    def __exit__(self, *_):
+        self.spark.removeTag(self.tag)
+
+    def cancel(self) -> None:
+        self.cancelled = True
+        self.spark.interruptTag(self.tag)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import UNKNOWN
+
 
 class Labeler(Protocol):
     """What label_with() runs: a function of texts that gives a value for each; it may call a model that the caller provides."""
@@ -59,13 +61,47 @@ def majority(votes: DataFrame, by: Sequence[str], *, value: str = "vote", order:
 
 def numeric_consistency(votes: DataFrame, by: Sequence[str], value: str = "vote") -> DataFrame:
     """(by, median, n_votes, consistency): consistency is the mean of exp(-|a - b| / tau) over pairs of votes, tau = max(1, 5 % of the median); 1 for one vote. A group is the votes on one question."""
-    per = votes.where(F.col(value).isNotNull()).groupBy(*by).agg(F.median(value).alias("median"), F.count("*").alias("n_votes"), F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_v"))
-    tau = F.greatest(F.lit(1.0), 0.05 * F.abs("median"))
-    per = per.withColumn("_t", tau)
-    row = lambda a: F.aggregate("_v", F.lit(0.0), lambda s, b: s + F.exp(-F.abs(a - b) / F.col("_t")))
-    total = F.aggregate("_v", F.lit(0.0), lambda s, a: s + row(a))
-    n = F.col("n_votes")
-    return per.select(*by, "median", "n_votes", F.when(n > 1, (total - n) / (n * (n - 1))).otherwise(1.0).alias("consistency"))
+    return _pairwise(votes, by, value, lambda m: F.greatest(F.lit(1.0), 0.05 * F.abs(m)))
+
+
+def _pairwise(votes: DataFrame, by: Sequence[str], value: str, tau) -> DataFrame:
+    """(by, median, n_votes, consistency) with the mean of exp(-|a - b| / tau(median)) over pairs.
+
+    Distinct values are counted before the shuffle and met in order: with r = sum of n exp(-(b - v) / tau) over
+    the values v below b, the next value's r follows from the last one's, so n votes take one pass and not n * n.
+    """
+    v = F.col(value).cast("double")
+    counts = votes.where(v.isNotNull()).groupBy(*by, v.alias("_x")).agg(F.count("*").cast("double").alias("_n"))
+    per = counts.groupBy(*by).agg(F.percentile("_x", 0.5, F.col("_n").cast("long")).alias("median"), F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_x", "_n"))).alias("_v"))
+    per = per.withColumn("_t", tau(F.col("median")))
+    start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("r"), F.lit(0.0).alias("s"))
+
+    def step(a, b):
+        r = a.r * F.exp(-(b["_x"] - a.x) / F.col("_t"))  # r is 0 before the first value
+        r = F.when(a.r == 0, 0.0).otherwise(r)
+        return F.struct(b["_x"].alias("x"), (r + b["_n"]).alias("r"), (a.s + b["_n"] * r + b["_n"] * (b["_n"] - 1) / 2).alias("s"))
+
+    total = F.aggregate("_v", start, step).s
+    n = F.col("n")
+    return per.select(*by, "median", n.cast("long").alias("n_votes"), F.when(n > 1, total / (n * (n - 1) / 2)).otherwise(1.0).alias("consistency"))
+
+
+def date_consistency(votes: DataFrame, by: Sequence[str], value: str = "vote", tau: float = 14.0) -> DataFrame:
+    """(by, median, n_votes, consistency): numeric_consistency of dates, in days and with a fixed tau; the median is a day (of two middle ones the earlier half)."""
+    day = F.datediff(F.col(value), F.lit("1970-01-01").cast("date")).cast("double")
+    got = _pairwise(votes.withColumn("_day", day), by, "_day", lambda m: F.lit(tau))
+    return got.withColumn("median", F.date_add(F.lit("1970-01-01").cast("date"), F.floor("median").cast("int")))
+
+
+def word_consistency(votes: DataFrame, by: Sequence[str], value: str = "vote", both_unknown: float = 0.5, one_unknown: float = 0.1) -> DataFrame:
+    """(by, n_votes, consistency): the mean over pairs of votes of 1 for equal ones, 0 for others; two unknown ones agree by both_unknown, one and another by one_unknown. From counts of each vote, so a group of any size is one row for each distinct vote."""
+    v = F.lower(F.trim(value))
+    c = votes.where(F.col(value).isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").cast("double").alias("_n")).withColumn("_u", F.col("_v").isin(*UNKNOWN))
+    same = F.col("_n") * (F.col("_n") - 1) / 2
+    known, unknown = F.sum(F.when(~F.col("_u"), F.col("_n")).otherwise(0.0)), F.sum(F.when(F.col("_u"), F.col("_n")).otherwise(0.0))
+    per = c.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.when(~F.col("_u"), same).otherwise(0.0)).alias("s"), known.alias("k"), unknown.alias("u"))
+    total = F.col("s") + both_unknown * F.col("u") * (F.col("u") - 1) / 2 + one_unknown * F.col("u") * F.col("k")
+    return per.select(*by, F.col("n").cast("long").alias("n_votes"), F.when(F.col("n") > 1, total / (F.col("n") * (F.col("n") - 1) / 2)).otherwise(1.0).alias("consistency"))
 
 
 def option_scores(rows: DataFrame, options: Mapping[str, str], key: str) -> DataFrame:

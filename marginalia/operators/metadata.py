@@ -27,6 +27,11 @@ class Condition:
         """From a config entry; min_value and max_value are read as min and max."""
         return cls(d["field"], d.get("type", "text"), tuple(d.get("values") or ()), d.get("min", d.get("min_value")), d.get("max", d.get("max_value")))
 
+    def to_dict(self) -> dict:
+        """A config entry that of() reads back; what isn't set is left out."""
+        out = {"field": self.field, "type": self.type}
+        return out | ({"values": list(self.values)} if self.values else {}) | {k: v for k, v in (("min", self.min), ("max", self.max)) if v is not None}
+
     def column(self) -> Column:
         c = F.col(self.field)
         if self.type in ("number", "numeric"):
@@ -45,6 +50,17 @@ class Condition:
         return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(False))
 
 
+def conditions_of(config: Sequence[dict] | dict | None, known: Sequence[str]) -> tuple[list[Condition], bool]:
+    """(conditions, whether any suffices) of a config: a list, or {logic: and | or, conditions: [...]}. A field that isn't known raises."""
+    logic, entries = (config.get("logic", "and"), config.get("conditions") or ()) if isinstance(config, dict) else ("and", config or ())
+    found = [Condition.of(e) for e in entries]
+    if gone := [c.field for c in found if c.field not in known]:
+        raise ValueError(f"unknown metadata fields: {gone}")
+    if str(logic).lower() not in ("and", "or", "all", "any"):
+        raise ValueError(f"unknown logic: {logic}")
+    return found, str(logic).lower() in ("or", "any")
+
+
 def metadata_filter(rows: DataFrame, conditions: Sequence[Condition], *, match_any: bool = False) -> DataFrame:
     """Rows that meet all conditions, or any. An unknown field raises. Text and date columns compare in the scan."""
     missing = [c.field for c in conditions if c.field not in rows.columns]

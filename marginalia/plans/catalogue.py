@@ -28,11 +28,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    from . import annotation_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -111,7 +117,7 @@ def regex_note_filter(spark, d):
 def date_normalize_mixed(spark, d):
     v = views.notes(spark, d)
     raw = F.when(F.col("n") % 5 == 0, F.date_format("date_note", "yyyy-MM-dd")).when(F.col("n") % 5 == 1, F.date_format("date_note", "M/d/yyyy")).when(F.col("n") % 5 == 2, F.concat(F.date_format("date_note", "yyyy-MM-dd"), F.lit("T10:30:00Z"))).when(F.col("n") % 5 == 3, F.date_format("date_note", "MMM d, yyyy")).otherwise(F.concat(F.lit("about "), F.col("n").cast("string")))
-    return v.select("doc_id", dates.normal_date(raw).alias("day"))
+    return v.select("doc_id", dates.normal_date(raw, dates.parse_model_date).alias("day"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM lineitem")
