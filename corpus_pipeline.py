@@ -13,14 +13,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: those that language ID calls und (a null text, or one without a letter).
 
     lang becomes the predicted language. A score is no ground for dropping: a clean text of one word has a low one.
+    Where no document is labelled there is nothing to learn from: the same documents go, and lang stays as it is.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.labelled(docs, model).where("lang <> 'und'").select(*docs.columns)
+    return langid.labelled(docs, model).where("lang is null or lang <> 'und'").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that at least three documents hold from all but the largest; n_chars follows the text. Documents stay, if need be with an empty text."""
+    """Drops lines that at least three documents hold from all but the largest; n_chars follows the text.
+
+    A document that loses lines and keeps no letter or digit goes: larger documents hold all of its text. Others stay.
+    """
     out = lines.line_dedup(docs, counts=("_lines", "_dropped"))
+    out = out.where((F.col("_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     return out.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
