@@ -4,6 +4,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import bpe, mixing
@@ -29,7 +30,9 @@ def check(spark, docs, sf):
             assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
         elif name == "line_dedup":
             want = line_brute([(r["doc_id"], r["text"]) for r in rows])
-            assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(((i, t) for i, _, t in want), key=str)
+            given = {(r["doc_id"], r["text"]) for r in rows}
+            stays = lambda i, t: (i, t) in given or re.search(r"[^\W_]", t)  # noqa: E731, B023
+            assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(((i, t) for i, _, t in want if stays(i, t)), key=str)
         elif name == "near_dups":
             ids = [r for r in rows if r["doc_id"] is not None]
             comp = near_brute([(r["doc_id"], r["text"]) for r in ids])
@@ -66,5 +69,18 @@ def test_stages_on_odd_and_empty_tables(spark):
     assert check(spark, docs.limit(0), SF) == []
 
 
+def test_an_unlabelled_corpus_goes_through(spark):
+    docs = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "5", "6", "6", "None", "9", "10", "11"]) and {r.lang for r in kept} == {None}
+
+
+def test_documents_of_nothing_but_repeats_go(spark):
+    line = ["a line of text that is repeated in documents", "another one that they all hold as well"]
+    rows = [(i, "\n".join(line) + ("\n--" if i == 2 else ""), "en", "a", 80) for i in range(5)] + [(9, None, "en", "a", 0), (10, "", "en", "a", 0), (11, line[0] + "\nown words", "en", "a", 60)]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert {r.doc_id: r.text for r in got} == {4: line[1], 9: "", 10: "", 11: line[0] + "\nown words"}
+
+
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "line_dedup", "near_dups", "mix", "encode"]
