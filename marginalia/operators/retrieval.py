@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.staging import kept
 
 K1, B = 1.5, 0.75
 
@@ -63,32 +64,41 @@ def idf_table(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Da
     return df.select("term", "df", (F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)) + 1).alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, queries: dict[str, Sequence[str]], *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def term_counts(docs: DataFrame, terms: Sequence[str], keys: Sequence[str], text: str = "text") -> DataFrame:
+    """(keys, dl, t0, t1, ...): each text's number of tokens and how often it has each term, as a written table. Texts are tokenised once: the generator keeps filters and later columns from repeating it."""
+    base = docs.select(*keys, F.coalesce(T.search_tokens(F.col(text)), F.array().cast("array<string>")).alias("_k"))
+    row = F.struct(F.size("_k").alias("dl"), *[(F.size("_k") - F.size(F.array_remove("_k", t))).alias(f"t{i}") for i, t in enumerate(terms)])
+    return kept(base.select(*keys, F.inline(F.array(row))), "counts")
+
+
+def bm25_scores(docs: DataFrame, queries: dict[str, Sequence[str]], *, doc: str | Sequence[str] = "doc_id", text: str = "text", unit: str | None = None) -> DataFrame:
     """(query, doc, score) of scores above 0. Query tokens count as often as they stand.
 
-    Only the queries' terms leave the scan, as counts per document; document frequencies and the mean length come from one pass over all.
+    Only the queries' terms leave the scan, as counts per document; document frequencies come from one pass over these, and so does the
+    mean length: of all, or with `unit`, a column of docs that then is in the result, of each unit's documents.
     """
     terms = sorted({t for q in queries.values() for t in q})
-    toks = T.search_tokens(F.col(text))
-    base = docs.select(doc, F.coalesce(toks, F.array().cast("array<string>")).alias("_k"))
-    dl = F.size("_k")
-    tf = {t: F.size("_k") - F.size(F.array_remove("_k", t)) for t in terms}
-    counts = base.select(doc, dl.alias("dl"), *[c.alias(f"t{i}") for i, c in enumerate(tf.values())])
+    keys = [*([unit] if unit else []), *([doc] if isinstance(doc, str) else doc)]
+    counts = term_counts(docs, terms, keys, text)
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()  # one row
     both = counts.where(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false")
+    mean = F.lit(stats["avgdl"] or 1.0)
+    if unit:
+        both = both.join(counts.groupBy(unit).agg(F.avg("dl").alias("_mean")), unit)
+        mean = F.col("_mean")
     part = []
     for i in range(len(terms)):
         d = stats[f"d{i}"] or 0
         idf = F.lit(math.log((stats["n"] - d + 0.5) / (d + 0.5)) + 1)
         x = F.col(f"t{i}").cast("double")
-        part.append(idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0))))
+        part.append(idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("dl") / mean)))
     scored = []
     for name, q in sorted(queries.items()):
         total = F.lit(0.0)
         for t in q:
             total = total + part[terms.index(t)]
         scored.append(F.struct(F.lit(name).alias("query"), total.alias("score")))
-    return both.select(doc, F.explode(F.array(*scored)).alias("x")).select("x.query", doc, "x.score").where("score > 0")
+    return both.select(*keys, F.explode(F.array(*scored)).alias("x")).select("x.query", *keys, "x.score").where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int, by: Sequence[str], score: str, ties: Sequence[str]) -> DataFrame:
@@ -168,8 +178,9 @@ def within_budget(rows: DataFrame, by: str, order: Sequence[str], length, budget
 
 
 def context(rows: DataFrame, by: str, order: Sequence[str], budget: int = 12_000) -> DataFrame:
-    """(by, context): the fragments [doc_id=, chunk_id=] text that fit, by a blank line."""
-    frag = F.concat(F.lit("[doc_id="), F.col("doc_id").cast("string"), F.lit(", chunk_id="), F.col("chunk_id").cast("string"), F.lit("] "), F.col("text"))
+    """(by, context): the fragments [doc_id=, chunk_id=] text that fit, by a blank line. Where rows have date and note_type, fragments name those that aren't null."""
+    more = [F.coalesce(F.concat(F.lit(f", {name}="), F.col(c).cast("string")), F.lit("")) for c, name in (("date", "date"), ("note_type", "type")) if c in rows.columns]
+    frag = F.concat(F.lit("[doc_id="), F.col("doc_id").cast("string"), F.lit(", chunk_id="), F.col("chunk_id").cast("string"), *more, F.lit("] "), F.col("text"))
     fit = within_budget(rows.withColumn("_f", frag), by, order, F.char_length("_f"), budget)
     return fit.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("used", "_f"))), lambda x: x["_f"]), "\n\n").alias("context"), F.count("*").alias("n_chunks"))
 
@@ -203,10 +214,10 @@ def mmr(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", score: str =
     return rows.select(by, item, score, vector).groupBy(by).applyInPandas(run, f"{by} {kb}, {item} {ki}, rank long")
 
 
-def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", lists: int = 16, probes: int | None = None, recall: float = 0.95, trials: int = 200, sample: int = 10_000, seed: int = 3) -> DataFrame:
+def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", lists: int | None = None, probes: int | None = None, recall: float = 0.95, trials: int = 200, sample: int = 10_000, seed: int = 3) -> DataFrame:
     """(query, key, similarity, rank): approximate cosine_top_k through an inverted file.
 
-    Centroids come from MLlib k-means on a bounded sample of unit vectors; every row is filed under its nearest
+    Centroids, the square root of the rows as many but 16 to 2048, come from MLlib k-means on a bounded sample of unit vectors; every row is filed under its nearest
     centroid, and a query is sent to the `probes` nearest lists, where an equi-join meets it with their rows.
     Without probes, they are as many as the recall needs, measured on all rows: the exact neighbours of
     `trials` queries (all queries, if they are fewer) are looked up in the lists.
@@ -221,6 +232,7 @@ def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vec
     n = some.count()
     if not n:
         return unit.select(F.col("id").alias("query"), F.col("id").alias(key), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    lists = lists or min(2048, max(16, math.isqrt(unit.count())))
     centers = np.stack(KMeans(k=min(lists, n), seed=seed, maxIter=15).fit(some).clusterCenters())  # lists x dimensions
 
     @F.pandas_udf("array<int>")

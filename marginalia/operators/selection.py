@@ -29,9 +29,11 @@ def quantile_gate(rows: DataFrame, q: float, *, label: str = "label", score: str
     return rows.join(cut, label).where(F.col(score) >= F.col("_cut")).drop("_cut")
 
 
-def k_center(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def k_center(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", vector: str = "embedding", start: DataFrame | None = None) -> DataFrame:
     """(by, item, rank): farthest-first points of each group, the first the one farthest from the mean; ties by item.
 
+    start: (by, item, vector) that are chosen before; a group that has any begins with the row farthest from them. They aren't in the result.
+
     The greedy choice takes k rounds over all rows. In a round every task holds its rows against their group's chosen
     points and hands on its farthest row of each group, of which the group's farthest is chosen; so a group of any size
     is spread over tasks. What is chosen, k points for each group, is on the driver and sent to tasks: groups are
@@ -43,6 +45,12 @@ def k_center(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", vector:
     mean = per.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s.x).alias("v"))
     marks = {r.g: np.array([r.v], float) for r in mean.collect()}
     chosen: dict = {g: [] for g in marks}
+    given: dict = {g: [] for g in marks}
+    if start is not None:  # a selection so far: of the size of a batch
+        for r in start.select(F.col(by).alias("g"), F.col(item).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("v is not null").collect():
+            if r.g in given:
+                marks[r.g] = np.vstack([marks[r.g], r.v]) if given[r.g] else np.array([r.v], float)
+                given[r.g].append(r.i)
     named = {g: g for g in marks}  # pandas may hold labels as other numbers
 
     def farthest(marks: dict, taken: dict):
@@ -69,10 +77,10 @@ def k_center(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", vector:
         return run
 
     for _ in range(k):
-        ends = real.mapInPandas(farthest(marks, chosen), f"g {kinds[by]}, less double, i {kinds[item]}, v array<double>")
+        ends = real.mapInPandas(farthest(marks, {g: given[g] + chosen[g] for g in marks}), f"g {kinds[by]}, less double, i {kinds[item]}, v array<double>")
         got = ends.groupBy("g").agg(F.min(F.struct("less", "i", "v")).alias("b")).collect()
         for r in got:
-            first = not chosen[r.g]
+            first = not chosen[r.g] and not given[r.g]
             chosen[r.g].append(r.b.i)
             marks[r.g] = np.array([r.b.v]) if first else np.vstack([marks[r.g], r.b.v])
         marks = {r.g: marks[r.g] for r in got}  # the others have no row left
@@ -88,7 +96,9 @@ def prototypes(rows: DataFrame, label: str, labels: Sequence, k: int = 8, *, ite
     out = None
     x = rows.select(F.col(label), F.col(item), array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features"))
     for v in labels:
-        own = x.where(F.col(label) == v)
+        own = x.where(F.col(label).eqNullSafe(F.lit(v)))
+        if own.isEmpty():
+            continue
         m = KMeans(k=k, seed=seed, maxIter=10).fit(own)
         centres = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in m.clusterCenters()])
         got = m.transform(own).withColumn("_c", F.element_at(centres, F.col("prediction") + 1)).withColumn("_v", vector_to_array("features"))
@@ -117,7 +127,7 @@ def assemble_batch(buckets: Sequence[tuple[str, DataFrame, int]], total: int, *,
         both = one if both is None else both.union(one)
     first = both.groupBy(unit).agg(F.min(F.struct("_p", "_r", "bucket", "_quota")).alias("x")).select(unit, "x.*")
     n = F.row_number().over(Window.partitionBy("_p").orderBy("_r", unit))
-    own = first.withColumn("_n", n).withColumn("_over", (F.col("_n") > F.col("_quota")).cast("int"))
+    own = first.withColumn("_n", n).where(F.col("_n") <= total).withColumn("_over", (F.col("_n") > F.col("_quota")).cast("int"))
     order = Window.partitionBy(F.lit(0)).orderBy("_over", "_p", "_n", unit)
     return own.withColumn("position", F.row_number().over(order)).where(F.col("position") <= total).select(unit, "bucket", "position")
 
@@ -149,3 +159,14 @@ def unseen_pairs(units: DataFrame, labels: Sequence[str], seen: DataFrame) -> Da
     """(unit_id, label_id) of units and labels that `seen` doesn't hold."""
     every = units.select("unit_id", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label_id"))
     return every.join(seen.select("unit_id", "label_id").distinct(), ["unit_id", "label_id"], "left_anti")
+
+
+def relaxed_gate(rows: DataFrame, n: int, steps: Sequence[float] = (0.3, 0.2, 0.1, 0.05), *, label: str = "label", score: str = "rel") -> DataFrame:
+    """quantile_gate at the first of the steps that leaves a label at least n rows, at the last one where none does; each label by itself, in one aggregation."""
+    q = rows.groupBy(label).agg(F.percentile(score, F.array(*[F.lit(s) for s in steps])).alias("_q"), F.count(score).alias("_all"))
+    met = rows.join(q, label)
+    over = met.groupBy(label).agg(*[F.count(F.when(F.col(score) >= F.col("_q")[i], 1)).alias(f"_n{i}") for i in range(len(steps))])
+    cut = F.col("_q")[len(steps) - 1]
+    for i in reversed(range(len(steps) - 1)):
+        cut = F.when(F.col(f"_n{i}") >= n, F.col("_q")[i]).otherwise(cut)
+    return met.join(over, label).where(F.col(score) >= cut).select(*rows.columns)

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _all() -> None:
-    from . import annotation_queries  # noqa: F401  they register themselves
+    from . import annotation_queries, selection_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -624,7 +624,9 @@ def kcenter_select(spark, d):
 @query()
 def label_prototypes_kmeans(spark, d):
     """k-means starts at random points of a seed."""
-    return selection.prototypes(table(spark, d, "embeddings"), "label", range(10), 4)
+    e = table(spark, d, "embeddings")
+    labels = [r.label for r in e.select("label").distinct().orderBy("label").collect()]  # labels are few
+    return selection.prototypes(e, "label", labels, 4)
 
 
 @query("""WITH w AS (SELECT label, embedding, embedding[1]::DOUBLE AS w FROM embeddings), t AS (SELECT label, max(w) AS m FROM w GROUP BY label),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,25 @@ def staged(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+_kept: list[tuple] = []
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder, which is deleted when Python ends. Made in one job, and with file statistics by which later joins are planned."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/marginalia-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _kept.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for jvm, conf, path in _kept:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may have ended before
+            pass
