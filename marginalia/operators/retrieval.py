@@ -79,6 +79,8 @@ def bm25_scores(docs: DataFrame, queries: dict[str, Sequence[str]], *, doc: str
     """
     terms = sorted({t for q in queries.values() for t in q})
     keys = [*([unit] if unit else []), *([doc] if isinstance(doc, str) else doc)]
+    if not terms:
+        return docs.select(F.lit("").alias("query"), *keys, F.lit(0.0).alias("score")).where(F.lit(False))
     counts = term_counts(docs, terms, keys, text)
     stats = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(terms))]).first()  # one row
     both = counts.where(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false")
