@@ -88,9 +88,15 @@ def test_text(spark):
     got = d.select(text.canonical_note(F.col("t")).alias("t"), text.yes_no(F.col("v")).alias("v"), text.search_tokens(F.lit("The Écran-x a_1")).alias("k")).collect()
     assert [(r.t, r.v) for r in got] == [("a\nb\n", "yes"), (None, None), ("", "unknown")] and got[0].k == ["cran-x", "a_1"]
     assert spark.createDataFrame([("ﬁ①",)], "x string").select(text.nfkc("x")).first()[0] == "fi1"
+    assert spark.createDataFrame([("ＭＲＩ ﬁnding ①",), (None,)], "x string").select(text.search_tokens(F.col("x"))).collect()[0][0] == ["mri", "finding", "1"]
     days = ["2024-02-15", "02/15/2024", "2024-02-15T10:00:00Z", "Feb 15, 2024", "15 Feb 2024", "20240215", "2024/2/15"]
     d = spark.createDataFrame([(x,) for x in [*days, "soon", None]], "x string")
-    assert [r[0] for r in d.select(dates.normal_date(F.col("x"))).collect()] == ["2024-02-15"] * 7 + ["soon", None]
+    assert [r[0] for r in d.select(dates.normal_date(F.col("x"), dates.parse_model_date)).collect()] == ["2024-02-15"] * 7 + ["soon", None]
+    worded = ["Feb 15, 2024", "15 Feb 2024"]  # what models write is no date of the corpus
+    assert [r[0] for r in d.select(dates.normal_date(F.col("x"))).collect()] == [x if x in worded else "2024-02-15" for x in days] + ["soon", None]
+    timed = ["02/15/2024 10:30", "2024/02/15 10:30:00", "02-15-2024 1:05", "2024-02-15 10:30", "2024-02-15T10:30:00.5", "2024-2-15T10:30"]
+    d = spark.createDataFrame([(x,) for x in [*timed, "2024-02-15 later", "02/15/2024 99:30", "20240230"]], "x string")
+    assert [r[0] for r in d.select(dates.parse_date(F.col("x")).cast("string")).collect()] == ["2024-02-15"] * 6 + [None] * 3
     assert [r[0] for r in spark.createDataFrame([("1,234.5",), ("x",)], "x string").select(dates.parse_number(F.col("x"))).collect()] == [1234.5, None]
 
 
