@@ -109,7 +109,7 @@ def _pieces(blocks: Mapping[str, int], plan: list) -> pa.Table:
     return pa.table({"_s": pa.array([s for s, *_ in cut], pa.string()), "_c": pa.array([c for _, c, _ in cut], pa.int64()), "places": places})
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int | None = None, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 20_000, in_order: bool = False, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, key: str = "doc_id", source: str = "source", block: int | None = None, slots: int = 1000, power: float = 0.7, seed: int = 17, bucket_rows: int = 4_000, in_order: bool = False, names: tuple[str, str, str] = ("block", "slot", "position")) -> DataFrame:
     """docs with block, slot and position: an order in which each prefix has its sources' target weights, every row once.
 
     Rows of a source come in the order of a keyed hash of their key, cut in blocks of `block` rows (by default
