@@ -39,4 +39,4 @@ def test_sql(spark, duck, name):
 
 
 def test_queries_without_sql_have_tests_of_their_own():
-    assert set(catalogue.queries()) - set(SQL) == {"twister_shuffle", "ivf_search", "recursive_chunks", "mmr_select", "kcenter_select", "label_prototypes_kmeans"}
+    assert set(catalogue.queries()) - set(SQL) == {"twister_shuffle", "ivf_search", "recursive_chunks", "mmr_select", "kcenter_select", "label_prototypes_kmeans", "disagreement_bucket", "diversity_bucket", "retrieve_diverse", "self_consistency_plan"}
