@@ -79,9 +79,13 @@ def nfkc(s: pd.Series) -> pd.Series:
 COMPATIBLE = r"[\u00a0\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u02b0-\u02b8\u02d8-\u02dd\u02e0-\u02e4\u0300-\u036f\u0374-\u0387\u03d0-\u03d6\u03f0-\u03f9\u1100-\u11ff\u1d2c-\u1d78\u1d9b-\u1dbf\u1e9a\u1e9b\u1fbd-\u1fc1\u2000-\u200a\u2011\u2017\u2024-\u2026\u202f-\u2037\u203c\u203e\u2047-\u2049\u2057\u205f\u2070-\u209c\u20a8\u2100-\u218b\u222c-\u2230\u2460-\u24ff\u2a74-\u2a76\u2c7c\u2c7d\u3000-\u33ff\ua69c-\ua770\uf900-\ufaff\ufb00-\uffef\x{1d400}-\x{1d7ff}\x{1f100}-\x{1f251}]"
 
 
+#: All of these and more: what a quick look finds beyond ASCII and the letters of Latin-1.
+UNUSUAL = r"[^\u0000-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff]"
+
+
 def search_tokens(text: Column) -> Column:
     """Tokens of keyword search: the text in NFKC, lower-cased, in runs of a-z, digits and _ + - /, without stop words. Only texts that NFKC may change go to Python."""
-    whole = F.coalesce(nfkc(F.when(text.rlike(COMPATIBLE), text)), text)
+    whole = F.coalesce(nfkc(F.when(text.rlike(UNUSUAL) & text.rlike(COMPATIBLE), text)), text)
     return plain_tokens(whole)
 
 
