@@ -159,14 +159,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(e.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
 
 
-def blocked_units(rows: DataFrame, keys: list[str], id_col: str, block: int, sizing: DataFrame | None = None) -> DataFrame:
+def blocked_units(rows: DataFrame, keys: list[str], id_col: str, block: int, sizing: DataFrame | None = None, size: str = "1") -> DataFrame:
     """rows with bi, bj and side: pairs of rows with equal keys meet in a unit (keys, bi, bj).
 
     A key with at most `block` rows is one unit. A larger one is split by a hash of id_col into
     blocks of about that size, and each pair of blocks is a unit, so no task holds a hot key whole
-    and a pair of rows meets exactly once. sizing: a cheaper table to count the keys' rows in.
+    and a pair of rows meets exactly once. sizing: a cheaper table to count the keys' rows in; size: what
+    a row of it counts.
     """
-    hot = written((rows if sizing is None else sizing).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > block), "hot")
+    hot = written((rows if sizing is None else sizing).groupBy(*keys).agg(F.expr(f"sum({size})").alias("_n")).where(F.col("_n") > block), "hot")
     nb = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     out = rows.join(hot, keys, "left").withColumn("_nb", F.coalesce(nb, F.lit(1)))
     out = out.withColumn("side", F.pmod(F.xxhash64(F.lit(77), F.col(id_col)), F.col("_nb").cast("long")).cast("int"))
@@ -283,17 +284,18 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int, s
     return out
 
 
-def links_within(rows: DataFrame, candidates: DataFrame, gram: Callable, block: int) -> DataFrame:
+def links_within(rows: DataFrame, candidates: DataFrame, pairs: Callable, block: int, sizes: DataFrame | None = None) -> DataFrame:
     """(node, component, n_links): exact links among rows (node, weight, payload...) that candidate edges connect.
 
-    The parts that candidate edges form are co-located in blocks (blocked_units); in each, gram(table)
-    gives the boolean matrix of links among its rows, so every pair of a part is compared exactly
-    once. Per row the weights of its links and per block a spanning forest of them leave the task,
-    never the pairs. Rows without a link are left out.
+    The parts that candidate edges form are co-located in blocks (blocked_units); in each, pairs(table, sides)
+    yields the indices of all rows that link, each pair once, so every pair of a part is decided exactly
+    once; sides, where a unit has two blocks, tell them apart, and only pairs across count. sizes: (node, size) if a block
+    isn't `block` rows but that much in all. Per row the weights of its links and per block a spanning forest of
+    them leave the task, never the pairs. Rows without a link are left out.
     """
     parts = written(connected_components(candidates), "parts")
     members = rows.join(parts, "node")
-    units = blocked_units(members, ["component"], "node", block, sizing=parts)
+    units = blocked_units(members, ["component"], "node", block, sizing=parts if sizes is None else parts.join(sizes, "node"), size="1" if sizes is None else "size")
 
     def run(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch | None:
         node, weight = t.column("node").to_numpy(), t.column("weight").to_numpy()
@@ -301,23 +303,25 @@ def links_within(rows: DataFrame, candidates: DataFrame, gram: Callable, block:
         cuts = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1, append=unit[-1] + 1))
         a, b, n = [], [], []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if hi - lo < 2:
+            sides = None if one[lo] else side[lo:hi]
+            if hi - lo < 2 or sides is not None and (sides == sides[0]).all():
                 continue
-            link = gram(t.slice(lo, hi - lo)) & (node[lo:hi, None] != node[None, lo:hi])
-            if not one[lo]:
-                link &= side[lo:hi, None] != side[None, lo:hi]
-            if not link.any():
-                continue
-            count = link @ weight[lo:hi]
+            count, x, y = np.zeros(hi - lo, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            for i, j in pairs(t.slice(lo, hi - lo), sides):
+                ok = node[lo + i] != node[lo + j]
+                if sides is not None:
+                    ok &= sides[i] != sides[j]
+                i, j = i[ok], j[ok]
+                if len(i):
+                    for u, v in ((i, j), (j, i)):
+                        count += np.bincount(u, weight[lo + v], hi - lo).astype(np.int64)
+                    x, y = find_forest(np.concatenate([x, node[lo + i]]), np.concatenate([y, node[lo + j]]))
             has = np.flatnonzero(count)
-            a.append(node[lo:hi][has])
-            b.append(np.full(len(has), -1))
-            n.append(count[has])
-            i, j = np.nonzero(np.triu(link))
-            x, y = find_forest(node[lo + i], node[lo + j])
-            a.append(x)
-            b.append(y)
-            n.append(np.zeros(len(x), np.int64))
+            if not len(has):
+                continue
+            a += [node[lo:hi][has], x]
+            b += [np.full(len(has), -1), y]
+            n += [count[has], np.zeros(len(x), np.int64)]
         if not a:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])

@@ -188,15 +188,15 @@ def _mean(rows: DataFrame, dim: int) -> np.ndarray:
 
 
 def _cosines(min_cos: float):
-    def gram(t: pa.Table) -> np.ndarray:
+    def pairs(t: pa.Table, sides: np.ndarray | None):
         col = t.column("vec").combine_chunks()
         if isinstance(col, pa.ChunkedArray):
             col = col.chunk(0)
         x = np.array(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(t.num_rows, -1)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        return x @ x.T >= min_cos
+        yield np.nonzero(np.triu(x @ x.T >= min_cos, 1))
 
-    return gram
+    return pairs
 
 
 def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", min_cos: float = 0.95, recall: float = 0.999, projections: int = 4096, block: int = 512) -> DataFrame:

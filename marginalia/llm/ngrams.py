@@ -160,38 +160,133 @@ def candidate_edges(classes: DataFrame, threshold: float, trees: int, recall: fl
     return scan_units(units, ["prefix"], run, "src long, dst long", order=["tail"])
 
 
+def overlaps(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The matrix of common n-grams of sets that lie end to end, by products of blocks of the n-grams that two or more have."""
+    m = len(size)
+    if m == 2:
+        shared = len(np.intersect1d(flat[: size[0]], flat[size[0] :], assume_unique=True))
+        return np.array([[0, shared], [shared, 0]])
+    row = np.repeat(np.arange(m), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.diff(flat, prepend=flat[:1] - 1) != 0
+    start = np.flatnonzero(new)
+    many = np.diff(np.append(start, len(flat))) > 1  # a gram of one text is shared with none
+    col_of = (np.cumsum(many) - 1)[np.cumsum(new) - 1]
+    use = many[np.cumsum(new) - 1]
+    row, col_of = row[use], col_of[use]
+    both = np.zeros((m, m))
+    step = 16384
+    cuts = np.searchsorted(col_of, np.arange(0, (int(col_of[-1]) if len(col_of) else -1) + step + 1, step))
+    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        hit = np.zeros((m, step), np.float32)
+        hit[row[lo:hi], col_of[lo:hi] - k * step] = 1
+        both += hit @ hit.T
+    return both
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of the ranges start:start + size, end to end."""
+    upto = np.cumsum(size)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start - upto + size, size)
+
+
+#: Sets that are compared as a matrix at once; fewer are always.
+TILE = 512
+
+
+def similar(flat: np.ndarray, at: np.ndarray, sides: np.ndarray | None, threshold: float, room: int = 500_000):
+    """Index pairs (i, j) of all sets flat[at[i]:at[i + 1]] at the threshold or more, each once, in arrays of bounded size.
+
+    Sets at the threshold have one of their rarest n-grams in common: each can lack no more than its size allows, so the
+    rarest of their common ones lies among the first of both (prefix filtering). Pairs that meet on such an n-gram are
+    counted one by one; sets of many copies that meet on many of them are compared as matrices, whichever costs less.
+    With sides, pairs of one side may be left out.
+    """
+    size = np.diff(at)
+    m = len(size)
+
+    def reached(both: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return both >= threshold * (size[i] + size[j] - both) - 1e-9
+
+    def tiles(rows: np.ndarray):
+        cut = [rows[k : k + TILE] for k in range(0, len(rows), TILE)]
+        for p in range(len(cut)):
+            for q in range(p, len(cut)):
+                use = cut[p] if p == q else np.concatenate([cut[p], cut[q]])
+                if sides is not None and (sides[use] == sides[use[0]]).all():
+                    continue
+                both = overlaps(flat[spread(at[use], size[use])], size[use])
+                link = np.triu(reached(both, use[:, None], use[None, :]), 1)
+                if p != q:
+                    link = link[: len(cut[p])]
+                    link[:, : len(cut[p])] = False
+                i, j = np.nonzero(link)
+                yield use[i], use[j]
+
+    if m <= TILE:
+        yield from tiles(np.arange(m))
+        return
+    gid, df = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    row = np.repeat(np.arange(m), size)
+    key = np.sort(row * len(df) + rank[gid])  # a set's n-grams, the rarest first
+    gram, place = key % len(df), np.arange(len(key)) - at[row]
+    first = np.flatnonzero((place <= size[row] - np.maximum(1, np.ceil(threshold * size[row] - 1e-6))) & (np.sort(df)[gram] > 1))
+    first = first[np.argsort(gram[first], kind="stable")]
+    g, r, place = gram[first], row[first], place[first]
+    head = np.flatnonzero(np.diff(g, prepend=-1))
+    count = np.diff(np.append(head, len(g)))
+    group = np.repeat(np.arange(len(head)), count)
+    dense = np.zeros(m, np.int64) - 1  # the lot of sets compared as matrices that a set belongs to
+    hot = count > 32
+    if hot.any():
+        ends, lots = find_forest(r[hot[group]], r[head][group][hot[group]])
+        lot = np.arange(m)
+        lot[ends] = lots
+        of = lot[r[head]]
+        cost, members = np.bincount(of[hot], count[hot].astype(float) ** 2, m), np.bincount(lot, minlength=m).astype(float)
+        chosen = cost > 4 * members**2
+        hot &= chosen[of]
+        dense = np.where(chosen[lot], lot, -1)
+        for k in np.flatnonzero(chosen):
+            yield from tiles(np.flatnonzero(lot == k))
+    after = np.where(hot[group], 0, np.repeat(head + count, count) - np.arange(len(g)) - 1)
+    upto = np.concatenate([[0], np.cumsum(after)])
+    found = [np.empty(0, np.int64)]
+    for lo in range(0, int(upto[-1]), room):
+        k = np.arange(lo, min(lo + room, int(upto[-1])))
+        x = np.searchsorted(upto, k, "right") - 1
+        y = x + 1 + k - upto[x]
+        i, j = r[x], r[y]
+        # where this is their rarest common n-gram, as many follow as the shorter rest allows; else they met before
+        ok = np.minimum(size[i] - place[x], size[j] - place[y]) * (1 + threshold) >= threshold * (size[i] + size[j]) - 1e-6
+        ok &= (dense[i] < 0) | (dense[i] != dense[j])
+        if sides is not None:
+            ok &= sides[i] != sides[j]
+        code = np.unique(i[ok] * m + j[ok])
+        for part in np.array_split(code, max(1, int((size[code // m].sum()) // 4_000_000))):
+            i, j = part // m, part % m
+            i, j = np.where(size[i] <= size[j], i, j), np.where(size[i] <= size[j], j, i)
+            want = np.repeat(j * len(df), size[i]) + gram[spread(at[i], size[i])]
+            hit = key[np.minimum(np.searchsorted(key, want), len(key) - 1)] == want
+            both = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(size[i])])])
+            found.append(part[reached(both, i, j)])
+    found = np.unique(np.concatenate(found))
+    for lo in range(0, len(found), room):
+        yield found[lo : lo + room] // m, found[lo : lo + room] % m
+
+
 def _jaccard(threshold: float):
-    def gram(t: pa.Table) -> np.ndarray:
+    def pairs(t: pa.Table, sides: np.ndarray | None):
         col = t.column("grams").combine_chunks()
         if isinstance(col, pa.ChunkedArray):
             col = col.chunk(0)
-        at = col.offsets.to_numpy()
-        flat = col.values.to_numpy()[at[0] : at[-1]]
-        size = np.diff(at)
-        m = len(size)
-        if m == 2:
-            shared = len(np.intersect1d(flat[: size[0]], flat[size[0] :], assume_unique=True))
-            both = np.array([[0, shared], [shared, 0]])
-        else:
-            row = np.repeat(np.arange(m), size)
-            order = np.argsort(flat, kind="stable")
-            flat, row = flat[order], row[order]
-            new = np.diff(flat, prepend=flat[:1] - 1) != 0
-            start = np.flatnonzero(new)
-            many = np.diff(np.append(start, len(flat))) > 1  # a gram of one text is shared with none
-            col_of = (np.cumsum(many) - 1)[np.cumsum(new) - 1]
-            use = many[np.cumsum(new) - 1]
-            row, col_of = row[use], col_of[use]
-            both = np.zeros((m, m))
-            step = 16384
-            cuts = np.searchsorted(col_of, np.arange(0, (int(col_of[-1]) if len(col_of) else -1) + step + 1, step))
-            for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                hit = np.zeros((m, step), np.float32)
-                hit[row[lo:hi], col_of[lo:hi] - k * step] = 1
-                both += hit @ hit.T
-        return both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-
-    return gram
+        at = col.offsets.to_numpy().astype(np.int64)
+        return similar(col.values.to_numpy()[at[0] : at[-1]], at - at[0], sides, threshold)
+
+    return pairs
 
 
 def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 3, threshold: float = 0.5, trees: int = 36, recall: float = 0.99, block: int = 512) -> DataFrame:
@@ -204,8 +299,9 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
 
     A signature's trees are sorted by paths of DEPTH labels; prefixes are shortened from the full path until pairs at the
     threshold share one in some tree with the wanted recall, as measured (prefix_depth). Pairs under one prefix
-    whose sketches agree join parts; within a part all pairs are verified on their whole n-gram
-    sets, so a part's pairs are found even if no tree had them. Texts are shuffled once, and
+    whose sketches agree join parts; within a part all pairs are decided on their whole n-gram
+    sets, so a part's pairs are found even if no tree had them. In large tables sketches that agree by chance make
+    large parts with few links; prefix filtering finds them without comparing all pairs (similar). Texts are shuffled once, and
     only those in parts go on; a group of any size is split in blocks.
 
     Nulls: a null or empty text, or one without words, links with nothing; neither does a row with a
@@ -229,7 +325,8 @@ def ngram_join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: i
     heads = classes.join(ends, "node", "left_semi").select("node", "weight")
     texts = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("_text")).where("_text is not null").join(heads, "node")
     rows = stream(texts, ["node", "weight", "_text"], sets, "node long, weight long, grams array<long>")
-    linked = links_within(rows, edges, _jaccard(threshold), block)
+    # a block is `block` times a thousand n-grams: a part of many short texts is moved and cut up no more than one of few long texts
+    linked = links_within(rows, edges, _jaccard(threshold), block, classes.select("node", (F.greatest("size", F.lit(32)) / 1024).alias("size")))
     forget(edges)
     per_class = classes.select("c1", "c2", F.col("node").alias("head"), "weight").join(linked.withColumnRenamed("node", "head"), "head", "left")
     out = sig.select("doc", "c1", "c2", (F.col("size") > 0).alias("_real")).join(per_class, ["c1", "c2"], "left")

@@ -93,3 +93,36 @@ def test_odd(spark):
     assert by[1].n_links == 3 and by[6].n_links == 3 and by[6].class_id == 1 and not by[6].kept and by[1].kept
     assert by[3].n_links == 0 and by[3].kept and by[None].kept and by[None].class_id is None
     assert ngrams.ngram_join(d.limit(0)).count() == 0
+
+
+def test_large_parts_with_few_links_are_not_compared_pair_by_pair(monkeypatch):
+    r = np.random.default_rng(4)
+    common = r.integers(0, 2**62, 40)
+    sets = [np.unique(np.concatenate([r.choice(common, 12, replace=False), r.integers(0, 2**62, r.integers(14, 40))])) for _ in range(3000)]  # alike, but none at the threshold
+    sets += [np.unique(np.append(s[2:], r.integers(0, 2**62, 2))) for s in sets[:200]]
+    base = r.integers(0, 2**62, 150)
+    sets += [np.unique(np.append(r.choice(base, 130, replace=False), r.integers(0, 2**62, 9))) for _ in range(700)]  # near copies of one another
+    r.shuffle(sets)
+    size = np.array([len(s) for s in sets])
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    both = ngrams.overlaps(flat, size)
+    want = np.triu(both >= 0.5 * (size[:, None] + size - both) - 1e-9, 1)
+    cells, real = [], ngrams.overlaps
+    monkeypatch.setattr(ngrams, "overlaps", lambda f, s: cells.append(len(s) ** 2) or real(f, s))
+    for sides in (None, r.integers(3, 5, len(sets))):
+        cells.clear()
+        got = np.concatenate([np.stack(p) for p in ngrams.similar(flat, at, sides, 0.5, room=5000)], axis=1)
+        got = got if sides is None else got[:, sides[got[0]] != sides[got[1]]]
+        found = [(min(i, j), max(i, j)) for i, j in got.T.tolist()]
+        i, j = np.nonzero(want if sides is None else want & (sides[:, None] != sides))
+        assert sorted(found) == list(zip(i.tolist(), j.tolist(), strict=True)) and len(found) > 100_000
+        assert sum(cells) < 0.15 * len(sets) ** 2
+
+
+def test_parts_in_blocks_of_grams(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(f"c{r.randrange(4)}" for _ in range(5)) + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([1, 3, 300])))) for i in range(300)]
+    docs += [(1000 + i, x + " more") for i, (_, x) in enumerate(docs)]
+    for block in (1, 512):
+        got = {x.doc_id: (x.n_links, x.class_id) for x in ngrams.ngram_join(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect()}
+        assert sum(got[i][0] > 0 for i, _ in docs) >= 500 and got == brute(docs)
