@@ -175,10 +175,11 @@ def blocked_units(rows: DataFrame, keys: list[str], id_col: str, block: int, siz
     return out.withColumn("bi", F.least("side", "_j")).withColumn("bj", F.greatest("side", "_j")).drop("_n", "_nb", "_j")
 
 
-def scan_units(units: DataFrame, keys: list[str], func: Callable, schema: str, order: list[str] | None = None) -> DataFrame:
+def scan_units(units: DataFrame, keys: list[str], func: Callable, schema: str, order: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """func(pa.Table of whole units in order, unit ids) -> pa.RecordBatch or None, over all units.
 
     Units are co-located and sorted, then streamed: thousands of small ones are handled by one call. order: columns by which a unit's rows are sorted.
+    tasks: for units that take long for their bytes, so that they aren't put together by size.
     """
     by = [*keys, "bi", "bj"]
 
@@ -214,7 +215,7 @@ def scan_units(units: DataFrame, keys: list[str], func: Callable, schema: str, o
             if (out := func(t, ids(t))) is not None:
                 yield out
 
-    return units.repartition(*by).sortWithinPartitions(*by, *(order or [])).mapInArrow(run, schema)
+    return units.repartition(*([tasks] if tasks else []), *by).sortWithinPartitions(*by, *(order or [])).mapInArrow(run, schema)
 
 
 def unit_pairs(unit: np.ndarray, side: np.ndarray, one_block: np.ndarray, room: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:

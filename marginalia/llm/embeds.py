@@ -1,4 +1,4 @@
-"""Embedding near-dedup: collision counting over sorted one-dimensional projections."""
+"""Embedding near-dedup: all pairs on byte copies, or collision counting over sorted one-dimensional projections."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked_units, find_forest, forget, links_within, scan_units, written
+from .common import blocked_units, find_forest, forget, links_within, offsets_of, scan_units, written
 
 #: Outermost lines of a vector that may be looked at, and sample vectors of a calibration.
 MOST, TRIALS = 48, 2000
+#: Rows of a block of the comparison of all pairs, the fewest and the most, and of a tile in it. Each row goes to a unit for each block.
+BLOCKS, TILE = (8192, 250_000), 512
 
 
 @lru_cache(4)
@@ -106,6 +108,12 @@ def collisions(lines: np.ndarray, places: np.ndarray, i: np.ndarray, j: np.ndarr
     return n
 
 
+def _binary(body: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes."""
+    cuts = np.arange(len(body) + 1, dtype=np.int32) * body.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(cuts), pa.py_buffer(body.tobytes())])
+
+
 def _rows(dim: int, count: int, plan: Plan, mean: np.ndarray):
     """Rows for each set of `joint` of a vector's outermost lines: its key, the place on the first of them, and what counts and bounds a pair."""
     sets = np.array(list(combinations(range(plan.top), plan.joint)))
@@ -126,8 +134,7 @@ def _rows(dim: int, count: int, plan: Plan, mean: np.ndarray):
                 for g in range(plan.joint):
                     spot = spot * count + lines[:, sets[:, g]]
                 body = np.concatenate([packed(v), np.ascontiguousarray(lines.astype(np.uint32)).view(np.uint8).reshape(len(v), -1), np.ascontiguousarray(places.astype(np.float32)).view(np.uint8).reshape(len(v), -1)], axis=1)
-                cuts = np.arange(len(v) + 1, dtype=np.int32) * body.shape[1]
-                copy = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(cuts), pa.py_buffer(body.tobytes())])
+                copy = _binary(body)
                 each = np.repeat(np.arange(len(v)), len(sets))
                 yield pa.RecordBatch.from_arrays([pa.array(spot.ravel()), pa.array(node[lo : lo + 1000][each]), pa.array(places[:, sets[:, 0]].ravel()), copy.take(pa.array(each))], names=["spot", "node", "place", "copy"])
 
@@ -170,6 +177,73 @@ def _candidates(dim: int, plan: Plan, min_cos: float):
     return run
 
 
+def _copies(dim: int):
+    """(node, copy): packed unit vectors."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _binary(packed(x / np.linalg.norm(x, axis=1, keepdims=True)))], names=["node", "copy"])
+
+    return run
+
+
+def _near(min_cos: float):
+    """A spanning forest of the pairs of a unit that may_link: all are compared, as products of tiles."""
+
+    def run(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch | None:
+        node, side = t.column("node").to_numpy(), t.column("side").to_numpy()
+        one = t.column("bi").to_numpy() == t.column("bj").to_numpy()
+        off, data = offsets_of(t.column("copy").combine_chunks() if t.column("copy").num_chunks != 1 else t.column("copy").chunk(0))
+        body = data[off[0] : off[-1]].reshape(t.num_rows, -1)
+        head = body[:, :8].copy().view(np.float32)
+        # with e as an error's norm over its scale, u.v >= min_cos - e_i - e_j - e_i e_j is u.v + (1 + e_i)(1 + e_j) >= min_cos + 1
+        x = np.empty((t.num_rows, body.shape[1] - 7), np.float32)
+        np.divide(body[:, 8:].view(np.int8), head[:, :1], out=x[:, :-1])
+        x[:, -1] = 1 + head[:, 1].astype(np.float64) / head[:, 0]
+        least = np.float32(min_cos + 1 - x.shape[1] * 2.4e-7 - 4e-6)  # less what single precision takes from sums
+        product, hit = np.empty((TILE, TILE), np.float32), np.zeros((TILE, TILE), bool)
+        a, b, held, n = np.empty(0, np.int64), np.empty(0, np.int64), [], 0
+        cuts = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1, append=unit[-1] + 1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = np.arange(lo, hi)
+            left, right = (rows, rows) if one[lo] else (rows[side[lo:hi] == side[lo]], rows[side[lo:hi] != side[lo]])
+            for p in range(0, len(left), TILE):
+                v = x[left[p : p + TILE]]
+                for q in range(p if one[lo] else 0, len(right), TILE):
+                    w = x[right[q : q + TILE]]
+                    if len(v) < TILE or len(w) < TILE:
+                        hit[:] = False
+                    part = np.matmul(v, w.T, out=product[: len(v), : len(w)])
+                    np.greater_equal(part, least, out=hit[: len(v), : len(w)])
+                    k = np.flatnonzero(hit.view(np.uint64))  # eight at a time, since few are hits
+                    k = (8 * k[:, None] + np.arange(8)).ravel()
+                    k = k[hit.ravel()[k]]
+                    i, j = node[left[p + k // TILE]], node[right[q + k % TILE]]
+                    ok = i != j
+                    if ok.any():
+                        held.append((i[ok], j[ok]))
+                        n += len(held[-1][0])
+                    if n > 200_000:
+                        a, b = find_forest(np.concatenate([a, *[h[0] for h in held]]), np.concatenate([b, *[h[1] for h in held]]))
+                        held, n = [], 0
+        if held:
+            a, b = find_forest(np.concatenate([a, *[h[0] for h in held]]), np.concatenate([b, *[h[1] for h in held]]))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"]) if len(a) else None
+
+    return run
+
+
+def near_edges(rows: DataFrame, dim: int, n: int, min_cos: float) -> DataFrame:
+    """(src, dst): edges that connect all of the n rows (node, vec) with the cosine or more; every pair is compared."""
+    least, most = BLOCKS
+    block = min(most, max(least, -(-n // 8)))
+    blocks = -(-n // block)
+    units = blocked_units(rows.select("node", "vec").mapInArrow(_copies(dim), "node long, copy binary").withColumn("spot", F.lit(0)), ["spot"], "node", block, sizing=rows.select(F.lit(0).alias("spot")))
+    return scan_units(units, ["spot"], _near(min_cos), "src long, dst long", tasks=max(1, 2 * blocks * (blocks + 1)))
+
+
 def _mean(rows: DataFrame, dim: int) -> np.ndarray:
     """The mean of all unit vectors: sums of each task are added up before they come to the driver."""
 
@@ -199,10 +273,28 @@ def _cosines(min_cos: float):
     return pairs
 
 
-def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", min_cos: float = 0.95, recall: float = 0.999, projections: int = 4096, block: int = 512) -> DataFrame:
+def _counted(same: DataFrame, dim: int, n: int, min_cos: float, recall: float, projections: int) -> DataFrame | None:
+    """(src, dst) by collision counting, calibrated on a sample for the recall; None if no plan has it."""
+    mean = _mean(same, dim)
+    sample = np.array([x.vec for x in same.orderBy(F.xxhash64(F.lit(23), "node"), "node").limit(min(TRIALS, 4_000_000 // dim + 1)).select("vec").collect()], np.float64)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    plan = calibrate(sample, mean, n, min_cos, recall, projections)
+    if plan is None:
+        return None
+    rows = same.select("node", "vec").mapInArrow(_rows(dim, projections, plan, mean), "spot long, node long, place float, copy binary")
+    spots = blocked_units(rows, ["spot"], "node", 4096)
+    return scan_units(spots, ["spot"], _candidates(dim, plan, min_cos), "src long, dst long", order=["place"])
+
+
+def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", min_cos: float = 0.95, recall: float | None = None, projections: int = 4096, block: int = 512) -> DataFrame:
     """(key, n_links, component_id, kept): near-duplicates by cosine in double precision.
 
-    Each vector is projected on `projections` fixed random lines, less the mean of all vectors, without which
+    All pairs are compared, so no link is lost: first on byte copies of the vectors, in blocks, as products of tiles,
+    by a bound that drops none that can reach min_cos. What passes forms parts, in which all pairs are verified in
+    double precision. The comparisons take n^2/2 products for n vectors, in single precision.
+
+    For a table too large for that, a caller may give a recall below 1 instead, at the price of some links; the rest of
+    this paragraph is about that only. Each vector is projected on `projections` fixed random lines, less the mean of all vectors, without which
     vectors with a common part would crowd on the same lines. On a sorted line only its ends tell near
     vectors from far ones, so a vector counts only on the lines where it lies furthest out. Vectors collide on a line
     if both lie there and one is in the window centred on the other. A line's rows are sorted by place, windows are
@@ -232,19 +324,14 @@ def embedding_dedup(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     out = None
     for r in classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect():  # a row for each length
         same = classes.where(F.size("vec") == r.d)
-        mean = _mean(same, r.d)
-        sample = np.array([x.vec for x in same.orderBy(F.xxhash64(F.lit(23), "node"), "node").limit(min(TRIALS, 4_000_000 // r.d + 1)).select("vec").collect()], np.float64)
-        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-        plan = calibrate(sample, mean, r.n, min_cos, recall, projections)
-        if plan is None:
-            edges = same.select(F.col("node").alias("src"), F.lit(same.agg(F.min("node")).first()[0]).alias("dst"))
-        else:
-            rows = same.select("node", "vec").mapInArrow(_rows(r.d, projections, plan, mean), "spot long, node long, place float, copy binary")
-            spots = blocked_units(rows, ["spot"], "node", 4096)
-            edges = written(scan_units(spots, ["spot"], _candidates(r.d, plan, min_cos), "src long, dst long", order=["place"]), "edges")
+        edges = None
+        if recall is not None:
+            edges = _counted(same, r.d, r.n, min_cos, recall, projections)
+        if edges is None:
+            edges = near_edges(same, r.d, r.n, min_cos)
+        edges = written(edges, "edges")
         linked = links_within(same.select("node", "weight", "vec"), edges, _cosines(min_cos), block)
-        if plan is not None:
-            forget(edges)
+        forget(edges)
         out = linked if out is None else out.union(linked)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], "node long, n_links long, component long")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from marginalia.llm import embeds
 
@@ -99,3 +100,48 @@ def test_byte_copies_drop_no_near_pair():
         close = (x[i] * x[j]).sum(1) >= 0.95
         assert close.sum() > 200 and embeds.may_link(embeds.packed(x), i, j, 0.95)[close].all()
         assert not embeds.may_link(embeds.packed(x), np.arange(199), np.arange(1, 200), 0.95).all()
+
+
+def test_no_link_is_lost_where_a_sample_tells_nothing(spark):
+    r = np.random.default_rng(11)
+    w = r.standard_normal((2500, 32))
+    w[:, 0] = 0
+    x = np.concatenate([0.7 * unit(w), [[0] * 9 + [0.155] + [0] * 22, [0] * 9 + [-0.155] + [0] * 22]])
+    x[:, 0] = 1  # the two last ones lie on two sides of the mean, so that they have no outermost line in common
+    rows = list(enumerate(x.tolist()))
+    got = {v.vec_id: (v.n_links, v.component_id) for v in embeds.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: g for i, g in got.items() if g != (0, i)} == {2500: (1, 2500), 2501: (1, 2500)} and len(got) == 2502
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    rows = vectors()
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for blocks in ((16, 250_000), (1, 40)):
+        monkeypatch.setattr(embeds, "BLOCKS", blocks)
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeds.embedding_dedup(d).collect()} == brute(rows)
+
+
+def test_tiles_of_a_unit_connect_all_near_pairs():
+    r = np.random.default_rng(12)
+    base = r.standard_normal((2600, 24))
+    x = unit(np.concatenate([base, base + 0.22 * r.standard_normal(base.shape)]))
+    order = r.permutation(len(x))
+    x = x[order]
+    for one in (True, False):
+        side = np.zeros(len(x), int) if one else r.integers(0, 2, len(x))
+        t = pa.table({"node": np.arange(len(x)), "side": side, "bi": np.zeros(len(x), int), "bj": np.zeros(len(x), int) + (not one), "copy": embeds._binary(embeds.packed(x))})
+        out = embeds._near(0.95)(t, np.zeros(len(x), int))
+        root = np.arange(len(x))
+        root[out.column(0).to_numpy()] = out.column(1).to_numpy()
+        i, j = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+        ok = one | (side[i] != side[j])
+        assert ok.sum() > 800 and (root[i[ok]] == root[j[ok]]).all() and len(out) < 1.1 * ok.sum()
+
+
+def test_collision_counting_on_demand(spark):
+    rows = vectors()
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for projections in (4096, 1):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeds.embedding_dedup(d, recall=0.999, projections=projections).collect()}
+        want = brute(rows)
+        assert sum(g[0] for g in got.values()) >= 0.99 * sum(g[0] for g in want.values()) and got.keys() == want.keys()
