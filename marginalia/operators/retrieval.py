@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +110,84 @@ def top_k(scores: DataFrame, k: int, by: Sequence[str], score: str, ties: Sequen
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _side(dim: int) -> int:
+    """Rows on a side of a block of vectors: 16 MB in double precision at most."""
+    return max(256, min(16_384, (1 << 21) // max(1, dim)))
+
+
+def _hashed(seed: int, parts: int):
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
+
+
+def _matrix(col) -> np.ndarray:
+    """A list column as a matrix in double precision, nulls as NaN; lists of different lengths raise."""
+    c = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    if len(np.unique(np.diff(c.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors of different lengths")
+    return np.array(c.flatten().to_numpy(zero_copy_only=False), float).reshape(len(c), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+
+
+def _k_best(x: np.ndarray, y: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, cells) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity): the k rows of y most similar to each row of x, by nine digits and then by ids, of those it meets in cells (rows of x, rows of y). Rows of one id don't meet.
+
+    Products are made in tiles; only what reaches the k-th best so far is looked at, so memory is that of a tile.
+    """
+    best, at, least = np.zeros((len(x), k)), np.full((len(x), k), -1), np.full(len(x), -np.inf)
+    spare = k + int(np.unique(ids, return_counts=True)[1].max())  # as many hold the k best, whatever of them is the row itself
+    for rows, cols in cells:
+        for c in range(0, len(cols), 4096):
+            col = cols[c : c + 4096]
+            w = y[col].T
+            for r in range(0, len(rows), 512):
+                row = rows[r : r + 512]
+                s = x[row] @ w
+                floor = least[row]
+                new = np.flatnonzero(np.isneginf(floor))
+                if len(new) and len(col) > spare:
+                    floor[new] = np.partition(s[new], len(col) - spare, axis=1)[:, len(col) - spare]
+                i, j = np.divmod(np.flatnonzero(~(s < (floor - 1e-9)[:, None])), len(col))
+                ok = own[row[i]] != ids[col[j]]
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                hi, hj = np.nonzero(at[row] >= 0)
+                v = np.concatenate([best[row[hi], hj], s[i, j]])
+                i, j = np.concatenate([hi, i]), np.concatenate([at[row[hi], hj], col[j]])
+                o = np.lexsort((j, ids[j], -np.round(v, 9), i))
+                i, j, v = i[o], j[o], v[o]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                top = place < k
+                at[row[i[top]], place[top]], best[row[i[top]], place[top]] = j[top], v[top]
+                full = at[row, -1] >= 0
+                least[row[full]] = np.round(best[row[full], -1], 9)
+    i, p = np.nonzero(at >= 0)
+    return i, at[i, p], best[i, p]
+
+
+def _met(rows: DataFrame, k: int, cells, parts: int, kind: str, key: str) -> DataFrame:
+    """(query, key, similarity, rank) of rows (id, v, is_q, b, p): in each of the `parts` blocks (b, p), queries meet the others by cells(table, is_q, others), the pairs of row numbers among the two."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        q = t.column("is_q").to_numpy()
+        names = t.column("id").to_numpy()
+        if q.all() or not q.any():
+            i = j = s = np.empty(0, np.int64)
+        else:
+            x, code = _unit(_matrix(t.column("v"))), np.unique(names, return_inverse=True)[1]
+            i, j, s = _k_best(x[q], x[~q], code[q], code[~q], k, cells(t, q, ~q))
+        i, j = np.flatnonzero(q)[i], np.flatnonzero(~q)[j]
+        return pa.Table.from_arrays([t.column("id").take(pa.array(i)), t.column("id").take(pa.array(j)), pa.array(s, pa.float64())], names=["query", "id", "similarity"])
+
+    got = rows.repartition(min(2000, 2 * parts), "b", "p").groupBy("b", "p").applyInArrow(run, f"query {kind}, id {kind}, similarity double")
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
+
+
 def cosine_top_k(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """(query, key, similarity, rank): the k rows most similar to each query row, itself left out; ties by key.
 
@@ -217,58 +296,116 @@ def mmr(rows: DataFrame, by: str, k: int, *, item: str = "vec_id", score: str =
 
 
 def ivf_search(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", lists: int | None = None, probes: int | None = None, recall: float = 0.95, trials: int = 200, sample: int = 10_000, seed: int = 3) -> DataFrame:
-    """(query, key, similarity, rank): approximate cosine_top_k through an inverted file.
+    """(query, key, similarity, rank): approximate cosine_top_k through an inverted file; ties by key.
 
     Centroids, the square root of the rows as many but 16 to 2048, come from MLlib k-means on a bounded sample of unit vectors; every row is filed under its nearest
-    centroid, and a query is sent to the `probes` nearest lists, where an equi-join meets it with their rows.
+    centroid, and a query meets the rows of the `probes` nearest lists. Lists are packed in parts of bounded size, larger ones split;
+    a query goes once to each part that holds a list of its own, and each list is one matrix product there.
     Without probes, they are as many as the recall needs, measured on all rows: the exact neighbours of
     `trials` queries (all queries, if they are fewer) are looked up in the lists.
+    Vectors of length 0, and those with null or non-finite components, match nothing.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    ok = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), is_query.alias("q"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = ok.withColumn("_n", norm).where("_n > 0").select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"), "q")
-    some = unit.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select(array_to_vector("v").alias("features"))
+    v = F.transform(vector, lambda x: x.cast("double"))
+    fine = (F.size(vector) > 0) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    ok = vectors.where(F.col(key).isNotNull() & fine).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
+    some = ok.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample).select(F.transform("v", lambda x: x.cast("double")).alias("w")).withColumn("n", norm).where("n > 0")
+    some = some.select(array_to_vector(F.transform("w", lambda x: x / F.col("n"))).alias("features"))
     n = some.count()
     if not n:
-        return unit.select(F.col("id").alias("query"), F.col("id").alias(key), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
-    lists = lists or min(2048, max(16, math.isqrt(unit.count())))
+        return ok.select(F.col("id").alias("query"), F.col("id").alias(key), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank")).limit(0)
+    lists = lists or min(2048, max(16, math.isqrt(ok.count())))
     centers = np.stack(KMeans(k=min(lists, n), seed=seed, maxIter=15).fit(some).clusterCenters())  # lists x dimensions
+    half = (centers**2).sum(1) / 2
 
-    @F.pandas_udf("array<int>")
-    def near(v: pd.Series) -> pd.Series:
-        s = np.stack(v) @ centers.T - (centers**2).sum(1) / 2
-        return pd.Series(list(np.argsort(-s, 1).astype(np.int32)))
+    @F.pandas_udf("int")
+    def nearest(v: pd.Series) -> pd.Series:
+        x = _unit(np.stack(v).astype(float))
+        return pd.Series(np.concatenate([np.argmax(x[i : i + 1024] @ centers.T - half, 1) for i in range(0, len(x), 1024)]).astype(np.int32))
 
-    filed = unit.withColumn("_near", near("v"))
+    filed = kept(ok.withColumn("list", nearest("v")), "filed")
+    counts = np.zeros(len(centers), np.int64)
+    for r in filed.groupBy("list").count().collect():  # a row for each list
+        counts[r["list"]] = r["count"]
     if probes is None:
-        probes = _probes(unit, filed, k, recall, trials, seed)
-    rows = filed.select("id", F.col("v").alias("w"), F.col("_near")[0].alias("list"))
-    asks = filed.where("q").select(F.col("id").alias("query"), "v", F.explode(F.slice("_near", 1, probes)).alias("list"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    met = asks.join(rows, "list").where("query <> id").select("query", "id", dot.alias("similarity"))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
-
-
-def _probes(unit: DataFrame, filed: DataFrame, k: int, recall: float, trials: int, seed: int) -> int:
+        probes = _probes(filed, centers, k, recall, trials, seed)
+    side = _side(centers.shape[1])
+    first, split, n_parts = _packed(counts, min(side, max(2048, -(-int(counts.sum()) // 24))))
+    nb = max(1, -(-filed.where("q").count() // side))
+
+    @F.pandas_udf("int")
+    def part(at: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series((first[at] + h % split[at]).astype(np.int32))
+
+    def ask(batches):
+        for t in batches:
+            if not t.num_rows:
+                continue
+            x = _unit(_matrix(t.column("v")))
+            near = np.concatenate([np.argsort(half - x[i : i + 1024] @ centers.T, 1, kind="stable")[:, :probes] for i in range(0, len(x), 1024)])
+            q, at = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+            times = split[at]
+            p = np.repeat(first[at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            q, at = np.repeat(q, times), np.repeat(at, times)
+            o = np.lexsort((at, p, q))
+            q, at, p = q[o], at[o], p[o]
+            cut = np.flatnonzero(np.r_[True, (q[1:] != q[:-1]) | (p[1:] != p[:-1])])
+            own = pa.array(q[cut])
+            each = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(q)], pa.int32()), pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([t.column("id").take(own), t.column("v").take(own), pa.array(p[cut], pa.int32()), each], names=["id", "v", "p", "lists"])
+
+    kinds = {c: filed.schema[c].dataType.simpleString() for c in ("id", "v")}
+    a = filed.where("q").select("id", "v").mapInArrow(ask, f"id {kinds['id']}, v {kinds['v']}, p int, lists array<int>")
+    a = a.select("id", "v", F.lit(True).alias("is_q"), _hashed(1, nb).alias("b"), "p", "lists")
+    b = filed.select("id", "v", F.lit(False).alias("is_q"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"), part("list", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 40))).alias("p"), F.array("list").alias("lists"))
+
+    def cells(t: pa.Table, q: np.ndarray, r: np.ndarray):
+        of = t.column("lists").combine_chunks()
+        size, at = np.diff(of.offsets.to_numpy()), of.flatten().to_numpy()
+        asked = q[np.repeat(np.arange(t.num_rows), size)]
+        x, mine = np.repeat(np.cumsum(q) - 1, size)[asked], at[asked]
+        own = at[~asked]
+        x, y = x[np.argsort(mine, kind="stable")], np.argsort(own, kind="stable")
+        mine, own = np.sort(mine), own[y]
+        for c in np.intersect1d(mine, own):
+            yield x[slice(*np.searchsorted(mine, [c, c + 1]))], y[slice(*np.searchsorted(own, [c, c + 1]))]
+
+    return _met(a.unionByName(b), k, cells, n_parts * nb, kinds["id"], key)
+
+
+def _packed(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first, split, n): n parts of about `most` rows that lists of these counts are packed in; each list's first part, and over how many that follow it its rows are spread."""
+    first, split = np.zeros(len(counts), np.int64), np.maximum(1, -(-counts // most))
+    n, room = 0, 0
+    for i, c in enumerate(counts.tolist()):
+        if split[i] > 1 or c > room:
+            first[i] = n
+            n += int(split[i])
+            room = most - c if split[i] == 1 else 0
+        else:
+            first[i] = max(0, n - 1)
+            room -= c
+    return first, split, max(1, n)
+
+
+def _probes(filed: DataFrame, centers: np.ndarray, k: int, recall: float, trials: int, seed: int) -> int:
     """How many nearest lists hold the given share of the exact neighbours of a hash sample of the queries."""
-    asked = [r.id for r in unit.where("q").select("id").distinct().orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(trials).collect()]
+    asked = {r.id: r.v for r in filed.where("q").orderBy(F.xxhash64(F.lit(seed + 1), "id")).limit(trials).select("id", "v").collect()}
     if not asked:
         return 1
-    exact = cosine_top_k(unit, F.col("q") & F.col("id").isin(asked), k, key="id", vector="v").select("query", "id")  # trials * k rows
-    lists = filed.select("id", F.col("_near")[0].alias("list"))
-    orders = filed.where("q").where(F.col("id").isin(asked)).select(F.col("id").alias("query"), "_near")
-    at = F.array_position("_near", F.col("list"))
-    found = exact.join(lists, "id").join(orders, "query").groupBy(at.alias("at")).agg(F.count("*").alias("n")).orderBy("at").collect()
-    total, seen = sum(r.n for r in found), 0
-    for r in found:
-        seen += r.n
-        if seen >= recall * total:
-            return int(r["at"])
-    return 1
+    exact = cosine_top_k(filed.select("id", "v", "q"), F.col("q") & F.col("id").isin(list(asked)), k, key="id", vector="v").select("query", "id")  # trials * k rows
+    found = exact.join(filed.select("id", "list"), "id").groupBy("query", "list").count().collect()
+    if not found:
+        return 1
+    x = _unit(np.array([asked[r.query] for r in found], float))
+    s = x @ centers.T - (centers**2).sum(1) / 2
+    at = (s > s[np.arange(len(s)), [r["list"] for r in found]][:, None]).sum(1) + 1
+    order = np.argsort(at, kind="stable")
+    seen = np.cumsum(np.array([r["count"] for r in found])[order])
+    return int(at[order][np.searchsorted(seen, recall * seen[-1])])
 
 
 def hashed_embedding(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 256) -> DataFrame:

@@ -321,3 +321,28 @@ def test_stream_keeps_the_latest_state(spark, tmp_path):
     events.upsert_stream(stream(), out, cp, ["k"], ["n"]).awaitTermination()
     got = spark.read.schema(schema).parquet(f"{out}/v=1")
     assert sorted((r.k, r.v) for r in got.collect()) == [(1, "c"), (2, "d"), (3, "e")]
+
+
+def _clumped(spark, n=5000):
+    """Rows around few directions, most around one, with equal rows and ones that match nothing."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(0, 1, (4, 6))[np.minimum(3, r.geometric(0.8, n) - 1)] + r.normal(0, 0.2, (n, 6)), 3).astype(np.float32)
+    x[n // 2 : n // 2 + 40] = x[7]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    return spark.createDataFrame([*rows, (n, None), (n + 20, []), (None, rows[7][1])], "vec_id long, embedding array<float>"), x.astype(float)
+
+
+def test_index_of_one_crowded_list_in_bounded_parts(spark):
+    first, split, n = retrieval._packed(np.array([3, 0, 50, 4, 5, 9, 1]), 10)
+    load = np.zeros(n)
+    for f, t, c in zip(first, split, [3, 0, 50, 4, 5, 9, 1], strict=True):
+        load[f : f + t] += c / t
+    assert load.sum() == 72 and load.max() <= 10
+    e, x = _clumped(spark)
+    got = retrieval.ivf_search(e, F.col("vec_id") % 20 == 0, 5, lists=4, probes=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan  # blocks of pairs, not a row for each
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u[::20] @ u.T, 9)
+    want = {(20 * i, r + 1, int(j)) for i in range(len(s)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(u)), -s[i])) if j != 20 * i][:5])}
+    assert {(r.query, r["rank"], r.vec_id) for r in got.collect()} == want
