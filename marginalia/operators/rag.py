@@ -205,7 +205,7 @@ def expand(chunks: DataFrame, seeds: DataFrame, seen: DataFrame, k: int, top_uni
     spark: SparkSession = chunks.sparkSession
     rows = chunks.select(F.concat(F.lit("c#"), F.col("doc_id").cast("string"), F.lit("#"), "chunk_id").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     asked = spark.createDataFrame([(f"q#{q}", [float(x) for x in v]) for q, (_, v) in labels.items()], "vec_id string, embedding array<double>")
-    hits = retrieval.cosine_top_k(rows.union(asked), F.col("vec_id").startswith("q#"), k + len(labels), block=2048).where(~F.col("vec_id").startswith("q#"))
+    hits = retrieval.cosine_top_k(rows.union(asked), F.col("vec_id").startswith("q#"), k + len(labels)).where(~F.col("vec_id").startswith("q#"))
     hits = hits.withColumn("_o", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("_o") <= k)
     label = spark.createDataFrame([(f"q#{q}", x) for q, (x, _) in labels.items()], "query string, label_id string")
     found = hits.join(label, "query").join(chunks.select(F.concat(F.lit("c#"), F.col("doc_id").cast("string"), F.lit("#"), "chunk_id").alias("vec_id"), "unit_id"), "vec_id")

@@ -188,36 +188,21 @@ def _met(rows: DataFrame, k: int, cells, parts: int, kind: str, key: str) -> Dat
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
-def cosine_top_k(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, is_query, k: int, *, key: str = "vec_id", vector: str = "embedding", block: int = 16_384) -> DataFrame:
     """(query, key, similarity, rank): the k rows most similar to each query row, itself left out; ties by key.
 
-    Query rows are cut in blocks, and all rows in parts; each part meets each block as one matrix product in one
-    task, which passes on its k best. Null vectors, and those of no length, match nothing.
+    Query rows and all rows are cut in blocks of `block` rows at most, of fewer where vectors are long or rows are few; each block of
+    queries meets each block of rows in one task, as products of tiles of which only what reaches its k best is kept. Null
+    vectors, those of no length and those of a null key match nothing.
     """
-    kind = vectors.schema[key].dataType.simpleString()
-    ok = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
-    n = ok.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m")).first()
-    nb, nv = max(1, -(-(n.m or 0) // block)), max(1, -(-n.n // (8 * block)))
-    side = lambda x, m: F.pmod(F.xxhash64(F.lit(x), "id"), F.lit(m)).cast("int")
-    a = ok.where("q").select("id", "v", F.lit(True).alias("is_q"), side(1, nb).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("p"))
-    b = ok.select("id", "v", F.lit(False).alias("is_q"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"), side(2, nv).alias("p"))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        q, r = p[p["is_q"]], p[~p["is_q"]]
-        if q.empty or r.empty:
-            return pd.DataFrame({"query": [], "id": [], "similarity": []})
-        x, y = np.stack(q["v"]).astype(float), np.stack(r["v"]).astype(float)
-        s = (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)) @ (y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-12)).T
-        ids, out = r["id"].to_numpy(), []
-        for i, own in enumerate(q["id"]):
-            rest = np.flatnonzero(ids != own)
-            best = rest[np.lexsort((ids[rest], -np.round(s[i, rest], 9)))[:k]]
-            out += [(own, ids[j], s[i, j]) for j in best]
-        return pd.DataFrame(out, columns=["query", "id", "similarity"])
-
-    got = a.unionByName(b).groupBy("b", "p").applyInPandas(run, f"query {kind}, id {kind}, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("id", key)
+    ok = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    n = ok.agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m"), F.max(F.size("v")).alias("d")).first()
+    side = min(block, _side(n.d or 1))
+    nb, nv = max(1, -(-(n.m or 0) // side)), max(1, -(-n.n // min(side, max(2048, -(-n.n // 24)))))
+    a = ok.where("q").select("id", "v", F.lit(True).alias("is_q"), _hashed(1, nb).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("p"))
+    b = ok.select("id", "v", F.lit(False).alias("is_q"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"), _hashed(2, nv).alias("p"))
+    every = lambda t, q, r: [(np.arange(int(q.sum())), np.arange(int(r.sum())))]
+    return _met(a.unionByName(b), k, every, nb * nv, vectors.schema[key].dataType.simpleString(), key)
 
 
 def rrf(ranks: Sequence[DataFrame], by: str, item: str, c: int = 60) -> DataFrame:

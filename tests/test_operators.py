@@ -346,3 +346,25 @@ def test_index_of_one_crowded_list_in_bounded_parts(spark):
     s = np.round(u[::20] @ u.T, 9)
     want = {(20 * i, r + 1, int(j)) for i in range(len(s)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(u)), -s[i])) if j != 20 * i][:5])}
     assert {(r.query, r["rank"], r.vec_id) for r in got.collect()} == want
+
+
+def test_cosine_memory_is_that_of_a_tile(spark):
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    x, y = retrieval._unit(r.normal(size=(1500, 8))), retrieval._unit(r.normal(size=(9000, 8)))
+    y[5000:5600] = y[3]  # ties over tiles
+    tracemalloc.start()
+    i, j, s = retrieval._k_best(x, y, np.arange(1500), np.arange(9000), 7, [(np.arange(1500), np.arange(9000))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * 9000 * 8 / 2  # never the whole product
+    want = np.round(x @ y.T, 9)
+    want[np.arange(1500), np.arange(1500)] = -9
+    assert (j.reshape(1500, 7) == np.lexsort((np.broadcast_to(np.arange(9000), want.shape), -want))[:, :7]).all()
+    e, x = _clumped(spark, 2000)
+    got = retrieval.cosine_top_k(e, F.col("vec_id") % 20 == 0, 5)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    full = {(r.query, r["rank"], r.vec_id) for r in got.collect()}
+    assert full == {(r.query, r["rank"], r.vec_id) for r in retrieval.cosine_top_k(e, F.col("vec_id") % 20 == 0, 5, block=90).collect()}
+    assert len(full) == 500 and all(v is not None and v < 2000 for _, _, v in full)
