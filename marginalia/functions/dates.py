@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +15,12 @@ FORMATS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy")
 WORDED = ("MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "M.d.yyyy")
 
 
+def _try(t: Column, form: str) -> Column:
+    """The date of t in a format, tried only on texts of its outline: a text that fails in the parser costs an exception."""
+    outline = re.sub(r"M{3,}", lambda _: r"\p{L}+", re.sub(r"y+|d|(?<!M)M(?!M)", r"[-+]?\\d+", form.replace(".", r"\.")))
+    return F.when(t.rlike(f"^{outline}$"), F.try_to_date(t, form))
+
+
 def parse_date(text: Column) -> Column:
     """The date of an ISO date or timestamp, of one of FORMATS with or without a time of day, or of eight digits. A time that isn't one is no date."""
     t = F.trim(text.cast("string"))
@@ -21,13 +28,13 @@ def parse_date(text: Column) -> Column:
     iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]([01]?\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})", 1))
     cut = F.coalesce(F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{2}:\d{2}"), F.regexp_extract(t, r"^(\d{4}-\d{1,2}-\d{1,2})", 1)), F.regexp_replace(t, f" {clock}$", ""))
     eight = F.when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd"))
-    return F.coalesce(F.try_to_date(iso, "yyyy-M-d"), *[F.try_to_date(cut, f) for f in FORMATS], eight)
+    return F.when(t.rlike(r"[-/][^-/]*[-/]"), F.coalesce(F.try_to_date(iso, "yyyy-M-d"), *[_try(cut, f) for f in FORMATS])).otherwise(eight)
 
 
 def parse_model_date(text: Column) -> Column:
     """parse_date, or one of WORDED."""
     t = F.trim(text.cast("string"))
-    return F.coalesce(parse_date(text), *[F.try_to_date(t, f) for f in WORDED])
+    return F.coalesce(parse_date(text), *[_try(t, f) for f in WORDED])
 
 
 def normal_date(text: Column, read: Callable[[Column], Column] = parse_date) -> Column:

@@ -368,3 +368,30 @@ def test_cosine_memory_is_that_of_a_tile(spark):
     full = {(r.query, r["rank"], r.vec_id) for r in got.collect()}
     assert full == {(r.query, r["rank"], r.vec_id) for r in retrieval.cosine_top_k(e, F.col("vec_id") % 20 == 0, 5, block=90).collect()}
     assert len(full) == 500 and all(v is not None and v < 2000 for _, _, v in full)
+
+
+def test_texts_without_a_date_cost_no_more_than_dates(spark):
+    """They did, some five times here, by an exception for each format; outlines change no verdict."""
+    import time
+
+    n = spark.range(0, 150_000, 1, 4)
+    day, text = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 999).cast("int")), "yyyy-MM-dd"), F.concat(F.col("id") % 5, F.lit("-NOT SPECIFIED"))
+
+    def seconds(x):
+        took = []
+        for _ in range(3):
+            t = time.perf_counter()
+            assert n.select(dates.parse_model_date(x).alias("d")).agg(F.count("d")).first()[0] in (0, 150_000)
+            took.append(time.perf_counter() - t)
+        return min(took)
+
+    assert seconds(text) < 2 * seconds(day) + 0.2
+    r = np.random.default_rng(4)
+    bits = ["2024", "12", "3", "31", "02", "-", "-", "/", "/", ".", " ", ", ", "Jan", "march", "ſep 5, 2023", "Sept", "T", "10:30", "99:30", "+", "0", "\n", "Z", "20240215", "12024", "x"]
+    some = ["".join(r.choice(bits, r.integers(1, 8))) for _ in range(3000)]
+    some += ["+12024-1-2", "2024-002-03", "2/30/2024", "2024-1--2", "1.2.2024", "1.2.2024 10:30", "MAY 3, 2024", "3 may 2024", "1/2/24", "2024/1/2 10:30:00", "1-2-2024 1:05", "2024-02-30", " 2024-2-3 ", "١.2.2024"]
+    d = spark.createDataFrame([(x,) for x in some], "x string")
+    t = F.trim("x")
+    for form in (*dates.FORMATS, *dates.WORDED):
+        assert d.where(~dates._try(t, form).eqNullSafe(F.try_to_date(t, form))).count() == 0, form
+    assert d.where(dates.parse_model_date(F.col("x")).isNotNull()).count() > 20
