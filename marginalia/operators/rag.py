@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
+from ..sources.staging import kept
 from . import ingest, retrieval
 from .config import config_hash
 
@@ -141,8 +142,10 @@ def retrieve(chunks: DataFrame, queries: Sequence[LabelQuery], k: int, *, min_k:
     diversity; what is chosen is topped off to min_k from the rest of the pool, and cut to k. Ties: by the pool's score, document and chunk.
 
     A chunk without an embedding is found by keywords only. Units without any hit have no rows. All work is
-    per unit: the largest group is a pool, k factor oversample chunks and their neighbours.
+    per unit: the largest group is a pool, k factor oversample chunks and their neighbours. Chunks are written once, since
+    all steps read them and making them may move all texts; after that only the pools' texts and vectors are moved.
     """
+    chunks = kept(chunks.select("unit_id", *CHUNK, "text", "embedding"), "chunks")
     target = int(np.ceil(k * factor * oversample))
     item = F.struct(*CHUNK).alias("item")
     key = F.struct(*KEY).alias("key")
@@ -150,16 +153,18 @@ def retrieve(chunks: DataFrame, queries: Sequence[LabelQuery], k: int, *, min_k:
     kw = unit_keyword(chunks, queries, keyword_topk).select(key, item, "score")
     pool = retrieval.candidate_pool(sem, kw, k, by="key", item="item", factor=factor, oversample=oversample, keyword_fraction=keyword_fraction)
     size = F.count("*").over(Window.partitionBy("key"))
-    pool = pool.withColumn("_n", size).select("key.*", "item.*", "score", "_n")
+    pool = kept(pool.withColumn("_n", size).select("key.*", "item.*", "score", "_n"), "pool")
     near = pool.where(F.col("_n") < max(min_k, k)).select(*KEY, "doc_id", F.explode(F.sequence(F.col("chunk_id") - hops, F.col("chunk_id") + hops)).alias("chunk_id")).distinct()
     near = near.join(pool.select(*KEY, *CHUNK), [*KEY, *CHUNK], "left_anti")
     texts = chunks.select("unit_id", *CHUNK, "text", *(["embedding"] if mmr is not None else []))
     both = pool.select(*KEY, *CHUNK, "score", F.lit("pool").alias("source")).unionByName(near.select(*KEY, *CHUNK, F.lit(0.0).alias("score"), F.lit("neighbor").alias("source")))
-    full = both.join(texts, ["unit_id", *CHUNK])
+    both = kept(both, "pool")
+    full = kept(both.join(texts.join(both.select("unit_id", *CHUNK).distinct(), ["unit_id", *CHUNK], "left_semi"), ["unit_id", *CHUNK]), "texts")
     full = rerank(full, {q.label_id: [q.text or " ".join(q.keywords)] for q in queries}, score)
     order = Window.partitionBy(*KEY).orderBy(F.desc(F.round("ce", 9)), F.desc(F.round("score", 9)), *CHUNK)
     full = full.withColumn("rank", F.row_number().over(order))
     if mmr is not None:
+        full = kept(full, "ranked")
         key = F.concat_ws("\u0001", *KEY).alias("key")
         picks = retrieval.mmr(full.where(F.col("embedding").isNotNull()).select(key, F.col("rank").alias("item"), "ce", "embedding"), "key", k, item="item", score="ce", vector="embedding", trade=mmr)
         full = full.drop("embedding").withColumn("key", key).join(picks.toDF("key", "rank", "_m"), ["key", "rank"], "left")

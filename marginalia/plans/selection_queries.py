@@ -21,7 +21,8 @@ ASKED = [rag.LabelQuery("gain", [_axis(0), _axis(1)], ["that THIS", "the ndst"],
 
 
 def _chunks(spark, d):
-    t = table(spark, d, "documents").join(table(spark, d, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    # the vectors are hashed, so that texts needn't be sorted
+    t = table(spark, d, "documents").join(table(spark, d, "embeddings").hint("shuffle_hash"), F.col("doc_id") == F.col("vec_id"))
     own = F.floor(F.col("doc_id") / 5).cast("long")
     return t.select(F.concat(F.lit("u"), (own % 20).cast("string")).alias("unit_id"), own.alias("doc_id"), (F.col("doc_id") % 5).cast("long").alias("chunk_id"), "text", "embedding")
 

@@ -50,6 +50,24 @@ def test_diverse_retrieval_is_the_greedy_choice(spark):
         assert got[u] == [(pool[i][1][1], pool[i][1][2]) for i in chosen]
 
 
+def test_retrieval_makes_the_chunks_and_scores_the_pools_once(spark):
+    _, d = chunks(spark)
+    made, scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for p in batches:
+            made.add(len(p))
+            yield p
+
+    def score(query, texts):
+        scored.add(len(texts))
+        return [float(len(t)) for t in texts]
+
+    got = rag.retrieve(d.mapInPandas(run, d.schema), [rag.LabelQuery("l", [[1.0, 0, 0, 0, 0, 0]], ["fever"], "fever")], 3, mmr=0.6, score=score)
+    assert got.count() == 9 and len(got.collect()) == 9
+    assert made.value == 36 and scored.value <= 36
+
+
 def test_rerank_scores_each_pair_once_with_the_best_query(spark):
     d = spark.createDataFrame([("l", "fever b"), ("l", "fever b"), ("m", None), ("x", "b")], "label_id string, text string")
     got = rag.rerank(d, {"l": ["fever", "zz"], "m": ["fever"]}).collect()
